@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import table
+from gristmill.llm.jaccard_join import jaccard_components
 from gristmill.llm.mixing import mix
 from gristmill.llm.secrets import find_secrets, joined
 from gristmill.llm.token_counts import count_tokens
@@ -18,6 +19,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -36,5 +41,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("secrets").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op7_winnowing, op8_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_jaccard_join, op7_winnowing, op8_mixing, op10_secrets)}
 ORACLES: dict[str, str] = {}
