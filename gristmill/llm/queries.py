@@ -11,9 +11,16 @@ from gristmill.llm.jaccard_join import jaccard_components
 from gristmill.llm.mixing import mix
 from gristmill.llm.secrets import find_secrets, joined
 from gristmill.llm.token_counts import count_tokens
+from gristmill.llm.toxicity import held_out, learn, score
 from gristmill.llm.winnowing import decontaminate
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = score(docs.select("doc_id", "text"), learn(docs, table(spark, sf_dir, "labels")))
+    return rated.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("toxic_spans").cast("long").alias("n_spans"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
@@ -41,5 +48,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("secrets").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_jaccard_join, op7_winnowing, op8_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_jaccard_join, op7_winnowing, op8_mixing, op10_secrets)}
 ORACLES: dict[str, str] = {}
