@@ -1,6 +1,6 @@
 """Toxicity by a linear-chain conditional random field.
 
-Learning, on a bounded sample (at most `per_class` labelled documents of either kind, least id hash first, never a held-out one):
+Learning, on a bounded sample (at most `per_class` toxic and OTHERS times as many other labelled documents, least id hash first, never a held-out one):
 words and word beginnings that toxic documents hold far oftener become cues; in toxic documents tokens with a cue are labelled 1, all
 other tokens 0; from these labelled tokens the field's weights (cues, cues of the neighbours, transitions) are fitted by gradient
 ascent on the conditional likelihood. A logistic curve from the marginals to the document's label is fitted last.
@@ -25,9 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS, MAX_CUES = 1500, 5000
+PER_CLASS, OTHERS, MAX_CUES = 1500, 3, 5000
 _TOKEN = re.compile(r"\w+")
-_BEGINNINGS = (4, 5, 6)
+_BEGINNINGS = (3, 4, 5, 6, 7, 8)
 _MEMO = 500_000
 
 
@@ -160,17 +160,21 @@ def signals(total: np.ndarray, top: np.ndarray) -> np.ndarray:
 
 
 def find_cues(texts: list[str | None], toxic: np.ndarray) -> dict[str, int]:
-    """Features whose share among toxic documents is far above that among the others."""
+    """Features whose share among toxic documents is above chance, by the likelihood ratio, for as many features as were tried."""
     counts = (Counter(), Counter())
     for text, x in zip(texts, toxic, strict=True):
         counts[int(x)].update({f for w in set(_TOKEN.findall(text or "")) for f in features_of(w)})
-    n0, n1 = max(1, int((toxic == 0).sum())), max(1, int((toxic == 1).sum()))
-    least = max(3, n1 // 300)
-    found = [(k * n0 / ((counts[0][f] + 1) * n1), k, f) for f, k in counts[1].items() if k >= least and k * n0 >= 6 * (counts[0][f] + 1) * n1 * min(1.0, n0 / 30)]
-    return {f: i for i, (_, _, f) in enumerate(sorted(found, key=lambda x: (-x[0], -x[1], x[2]))[:MAX_CUES])}
+    share = float(np.mean(toxic == 1))
+    tried = counts[1].keys()
+    k, c = (np.array([counts[x][f] for f in tried], float) for x in (1, 0))
+    own = k / (k + c)
+    ratio = k * np.log(own / share) + c * np.log(np.maximum(1 - own, 1e-12) / (1 - share))
+    keep = (ratio >= np.log(max(1, len(tried))) + 3) & (own >= max(0.7, share + 0.75 * (1 - share)))
+    found = sorted(((-r, f) for r, f, ok in zip(ratio, tried, keep, strict=True) if ok))[:MAX_CUES]
+    return {f: i for i, (_, f) in enumerate(found)}
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, prior: float | None, steps: int = 40) -> Field:
+def fit(texts: list[str | None], toxic: np.ndarray, prior: float | None, steps: int = 30) -> Field:
     model = Field(prior=prior)
     if prior is None or toxic.min(initial=1) == toxic.max(initial=0):
         return model
@@ -178,6 +182,9 @@ def fit(texts: list[str | None], toxic: np.ndarray, prior: float | None, steps:
     if not model.cues:
         return model
     model.weights = np.zeros(len(model.cues))
+    spare = np.nonzero(toxic == 0)[0][int((toxic == 1).sum()) * 2 :]  # enough for cues, more than the field needs
+    keep = np.setdiff1d(np.arange(len(texts)), spare)
+    texts, toxic = [texts[i] for i in keep], toxic[keep]
     tagger = Tagger(model)
     patterns, lengths = tagger.encode(texts)
     own = [list(k) for k in tagger.patterns]
@@ -237,12 +244,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field:
-    """The sample's ids come from the labels alone; at most twice `per_class` of them are broadcast and as many texts collected."""
+    """The sample's ids come from the labels alone; at most (1 + OTHERS) `per_class` of them are broadcast and as many texts collected."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not shares:
         return Field()
-    pick = lambda x: known.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    pick = lambda x: known.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class if x else OTHERS * per_class)
     sample = docs.select("doc_id", "text").join(F.broadcast(pick(0).union(pick(1))), "doc_id").select("doc_id", "text", "toxic").collect()
     rows = {r["doc_id"]: r for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"] or ""))}
     rows = [rows[k] for k in sorted(rows)]
