@@ -55,12 +55,16 @@ class Merger:
         return self._short(word) if len(word) <= 48 else self._long(word)
 
     def _short(self, word: str) -> list[str]:
-        parts, ranks, none = list(word), self.ranks, 1 << 60
-        while len(parts) > 1:
-            best, at = min((ranks.get(p, none), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == none:
-                break
+        parts, get, none = list(word), self.ranks.get, 1 << 60
+        order = [get(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+        while order and (best := min(order)) < none:
+            at = order.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del order[at]
+            if at:
+                order[at - 1] = get((parts[at - 1], parts[at]), none)
+            if at < len(order):
+                order[at] = get((parts[at], parts[at + 1]), none)
         return parts
 
     def _long(self, word: str) -> list[str]:
@@ -113,13 +117,12 @@ class Counting:
         self.pattern = regex.compile(PATTERN.replace(r"\s+", _SPACE + "+").replace(r"(?!\S)", f"(?!{_SPACE.replace('p{', 'P{')})").replace(r"[^\s", f"[^{_SPACE}"))
         self.special = sorted(vocabulary["special"], key=len, reverse=True)
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.letters, self.memo = byte_letters(), {}
+        self.letters, self.memo = dict(enumerate(byte_letters())), {}
 
     def rest(self, piece: str) -> int:
         n = self.memo.get(piece)
         if n is None:
-            letters = self.letters
-            n = len(self.merger.parts("".join([letters[b] for b in piece.encode("utf-8")])))
+            n = len(self.merger.parts(piece.encode("utf-8").decode("latin-1").translate(self.letters)))
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             if len(piece) <= 64:
