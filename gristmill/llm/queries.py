@@ -14,6 +14,7 @@ from gristmill.llm.secrets import find_secrets, joined
 from gristmill.llm.token_counts import count_tokens
 from gristmill.llm.topk_search import top_k
 from gristmill.llm.toxicity import held_out, learn, score
+from gristmill.llm.warc import through_archives
 from gristmill.llm.winnowing import decontaminate
 
 
@@ -32,6 +33,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return through_archives(table(spark, sf_dir, "pages"))
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
@@ -65,7 +70,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("secrets").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_jaccard_join, op5_topk_search, op6_chat_format, op7_winnowing, op8_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_jaccard_join, op4_warc, op5_topk_search, op6_chat_format, op7_winnowing, op8_mixing, op10_secrets)}
 ORACLES = {
     "op3_jaccard_join": r"""
 WITH RECURSIVE w AS (
@@ -80,6 +85,16 @@ e AS (
 r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
+""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload)::BIGINT AS n, sha1(payload) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM h)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda g : array_to_string(list_transform([15, 10, 5, 0], lambda s :
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, g * 5 + 1, 5))::INT >> s::INT) & 31) + 1)::INT, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
 """,
     "op5_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x : floor(256 * x::DOUBLE)) AS v FROM embeddings),
@@ -100,10 +115,10 @@ WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, least(len(ws), 10) AS k, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i : array_to_string(ws[i:i+9], ' '))) AS g FROM b WHERE len(ws) > 0),
-at AS (
+spot AS (
   SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS p, unnest(list_transform(range(1, len(ws) - k + 2), lambda i : array_to_string(ws[i:i+k-1], ' '))) AS g
   FROM d JOIN (SELECT DISTINCT k FROM win) ON len(ws) >= k),
-h AS (SELECT DISTINCT at.doc_id, at.p, win.k, win.item_id FROM at JOIN win ON at.g = win.g AND at.k = win.k),
+h AS (SELECT DISTINCT spot.doc_id, spot.p, win.k, win.item_id FROM spot JOIN win ON spot.g = win.g AND spot.k = win.k),
 hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM h) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -166,7 +166,7 @@ def top_k(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = K, scal
     asked = cut(asked.mapInArrow(_seeded(seeds, k), "dim int, q_ids binary, q_m binary, theta binary, needs double").withColumn("q_block", F.xxhash64("q_ids")))
     # Which blocks meet is settled on rows of a few numbers, dealt over SPREAD keys; then each side's bytes are fetched by block.
     some = asked.select("dim", "q_block", "needs", F.pmod("q_block", F.lit(SPREAD)).alias("r"))
-    each = blocks.select("dim", "band", "salt", "longest", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).cast("long").alias("r"))
+    each = blocks.select("dim", "band", "salt", "longest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("r"))
     meets = some.join(each, ["dim", "r"]).where(F.col("longest") >= F.col("needs")).select("dim", "q_block", "band", "salt")
     pairs = meets.join(asked.select("dim", "q_block", "q_ids", "q_m", "theta"), ["dim", "q_block"])
     pairs = pairs.join(blocks.drop("longest"), ["dim", "band", "salt"]).select("q_ids", "q_m", "theta", "ids", "m")
