@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.chat_format import assemble, digests
 from gristmill.llm.common import table
+from gristmill.llm.extraction import extract_text
 from gristmill.llm.jaccard_join import jaccard_components
 from gristmill.llm.mixing import mix
 from gristmill.llm.secrets import find_secrets, joined
@@ -64,13 +65,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), written=True)
     n = lambda kind: F.expr(f"cast(size(filter(base, x -> x.kind = {kind})) as bigint)")
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("secrets").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_jaccard_join, op4_warc, op5_topk_search, op6_chat_format, op7_winnowing, op8_mixing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_jaccard_join, op4_warc, op5_topk_search, op6_chat_format, op7_winnowing, op8_mixing, op9_extraction, op10_secrets)}
 ORACLES = {
     "op3_jaccard_join": r"""
 WITH RECURSIVE w AS (
