@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS, OTHERS, MAX_CUES = 1500, 3, 5000
+PER_CLASS, OTHERS, MAX_CUES = 1000, 3, 5000
 _TOKEN = re.compile(r"\w+")
 _BEGINNINGS = (3, 4, 5, 6, 7, 8)
 _MEMO = 500_000
@@ -161,12 +161,18 @@ def signals(total: np.ndarray, top: np.ndarray) -> np.ndarray:
 
 def find_cues(texts: list[str | None], toxic: np.ndarray) -> dict[str, int]:
     """Features whose share among toxic documents is above chance, by the likelihood ratio, for as many features as were tried."""
-    counts = (Counter(), Counter())
-    for text, x in zip(texts, toxic, strict=True):
-        counts[int(x)].update({f for w in set(_TOKEN.findall(text or "")) for f in features_of(w)})
+    in_toxic, elsewhere = Counter(), Counter()
+    held = lambda text: {f for w in set(_TOKEN.findall(text or "")) for f in features_of(w)}
+    for i in np.nonzero(toxic == 1)[0]:
+        in_toxic.update(held(texts[i]))
+    # Too few for any verdict: dropped before the other documents are counted, which keeps the tables small.
     share = float(np.mean(toxic == 1))
-    tried = counts[1].keys()
-    k, c = (np.array([counts[x][f] for f in tried], float) for x in (1, 0))
+    least = max(2, int(3 / -np.log(share)))
+    tried = {f: k for f, k in in_toxic.items() if k >= least}
+    del in_toxic
+    for i in np.nonzero(toxic == 0)[0]:
+        elsewhere.update(held(texts[i]) & tried.keys())
+    k, c = np.array(list(tried.values()), float), np.array([elsewhere[f] for f in tried], float)
     own = k / (k + c)
     ratio = k * np.log(own / share) + c * np.log(np.maximum(1 - own, 1e-12) / (1 - share))
     keep = (ratio >= np.log(max(1, len(tried))) + 3) & (own >= max(0.7, share + 0.75 * (1 - share)))
