@@ -25,6 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import small_batches
 from gristmill.llm.token_counts import PATTERN
 
 #: The control marks, in the order of their ids above the vocabulary.
@@ -108,7 +109,7 @@ def assemble(turns: DataFrame, ranks_path: str) -> DataFrame:
             yield pa.record_batch({"conv_id": batch.column("conv_id"), "turn": batch.column("turn"), "begin": pa.array(begin, pa.int64()), "ids": batch.column("ids"), "mask": batch.column("mask")})
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("tie"))
+    rows = small_batches(turns).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("tie"))
     coded = rows.mapInArrow(encode, "conv_id long, turn long, role string, tie string, ids binary, mask binary")
     dealt = coded.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "tie")
     return dealt.mapInArrow(place, "conv_id long, turn long, begin long, ids binary, mask binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -13,8 +14,13 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Called by operators that pass texts to Python: bounds what one batch holds."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that a written table has replaced; else they stay until the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     """A fresh place below the shared folder for files that an operator writes."""
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut
+from gristmill.llm.common import cut, small_batches
 
 SAMPLE = 8
 #: A node is template if at least so many pages, and this share of the sample, have it with one text.
@@ -323,7 +323,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of `pages` (page_id, url, html)."""
     host = F.pandas_udf(_host, "string")
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url").cast("string")).alias("host"))
+    rows = small_batches(pages).select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url").cast("string")).alias("host"))
     found = wrappers(rows.select("page_id", "host", "html"))
     if found.count() <= WRAPPERS:
         joined = rows.join(F.broadcast(found), "host", "left")

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import text_or_empty
+from gristmill.llm.common import small_batches, text_or_empty
 
 #: The pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -162,5 +162,5 @@ def count_tokens(df: DataFrame, vocabulary_path: str, limit: int = 1024) -> Data
             yield pd.Series([counting.of(t) if t else 0 for t in texts], dtype="int64")
 
     text = text_or_empty()
-    out = df.withColumn("n_bytes", F.octet_length(text).cast("long")).withColumn("n_tokens", tokens(text))
+    out = small_batches(df).withColumn("n_bytes", F.octet_length(text).cast("long")).withColumn("n_tokens", tokens(text))
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut
+from gristmill.llm.common import cut, small_batches
 
 K, SCALE = 5, 256
 STEP = 1.1
@@ -157,7 +157,7 @@ def _seeded(seeds: dict[int, tuple[bytes, bytes]], k: int):
 
 def top_k(vectors: DataFrame, queries: str = "vec_id % 50 = 0", k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the rows that `queries` (SQL on vec_id) selects, against all rows."""
-    rows = cut(scaled(vectors, scale))
+    rows = cut(scaled(small_batches(vectors), scale))
     blocks = cut(packed(rows, CANDIDATES, True))
     asked = packed(rows.where(queries), QUERIES, False)
     # One block for each dimension, each of at most about CANDIDATES vectors.

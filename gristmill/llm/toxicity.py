@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import small_batches
+
 PER_CLASS, OTHERS, MAX_CUES = 1000, 3, 5000
 _TOKEN = re.compile(r"\w+")
 _BEGINNINGS = (3, 4, 5, 6, 7, 8)
@@ -273,5 +275,5 @@ def score(docs: DataFrame, model: Field) -> DataFrame:
             yield pd.DataFrame({"score": scores, "spans": spans})
 
     plain = [c for c in docs.columns if c not in {"score", "predicted", "toxic_spans"}]
-    rated = docs.select(*plain).withColumn("_r", F.pandas_udf(run, "score double, spans array<struct<start: long, end: long>>")(F.col("text").cast("string")))
+    rated = small_batches(docs).select(*plain).withColumn("_r", F.pandas_udf(run, "score double, spans array<struct<start: long, end: long>>")(F.col("text").cast("string")))
     return rated.select(*plain, F.col("_r.score").alias("score"), (F.col("_r.score") >= 0.5).cast("int").alias("predicted"), F.col("_r.spans").alias("toxic_spans"))

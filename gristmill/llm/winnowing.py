@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import cut
+from gristmill.llm.common import cut, small_batches
 
 WINDOW, KGRAM = 10, 6
 TEST_BYTES = 16 << 20
@@ -194,7 +194,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, k: in
     items = tests.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     plain = [c for c in docs.columns if c not in {"n_words", "n_hit", "items", "hit_ranges", "contaminated"}]
-    docs = docs.select(*plain)
+    docs = small_batches(docs).select(*plain)
     if total <= test_bytes:
         out = _pass(docs, [tuple(r) for r in items.collect()], window, k, "_0")
     else:  # passes over blocks of items; each pass's small columns are written before the next
