@@ -7,7 +7,7 @@ from typing import Any
 
 from gristmill import catalog
 from gristmill.lens.policy import Lens, Narrowing, chain, resolve_visit
-from gristmill.rules import AggregateRule, All, Any_, ArrayRule, DateRule, FieldRule, If, Node, RuleError, Slice, nodes, parse
+from gristmill.rules import AggregateRule, All, Any_, ArrayRule, DateRule, FieldRule, If, Node, RuleError, parse
 
 
 def _and(*parts: Node | None) -> Node | None:
@@ -123,5 +123,3 @@ def stamp_coercions(rule: Any, lens: Lens | Narrowing) -> Node:
 
     return visit(parse(rule), base.model)
 
-
-__all__ = ["Slice", "apply_lens", "nodes", "rerooted", "stamp_coercions"]

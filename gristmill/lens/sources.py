@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.lens.policy import Lens, Narrowing, chain, resolve_visit
+from gristmill.lens.policy import Lens, Narrowing, resolve_visit
 from gristmill.lens.rewrite import rerooted
 from gristmill.lens.surface import declared_paths
-from gristmill.operators.compiler import resolve
+from gristmill.operators.compiler import Frame, resolve
 from gristmill.operators.relational import Planner
 from gristmill.options import EngineOptions, get_options
 from gristmill.rules import All, Node, RuleError, nodes, parse
@@ -20,7 +20,7 @@ from gristmill.sources.schema import Catalog
 
 def guards(lens: Lens | Narrowing, at: tuple[str, ...], paths: list[str], strict: bool) -> list[Node]:
     """The grants of all rows that the paths pass, once each, moved to the row they start from."""
-    base, seen, found = chain(lens)[0], set(), []
+    seen, found = set(), []
     for path in paths:
         here = at
         for name in path.split(".")[: -1 if strict else None]:
@@ -35,7 +35,6 @@ def guards(lens: Lens | Narrowing, at: tuple[str, ...], paths: list[str], strict
             if here not in seen:
                 seen.add(here)
                 found += [rerooted(parse(w), ".".join(here[len(at) :])) for w in resolve_visit(lens, here).wheres]
-    del base
     return found
 
 
@@ -93,8 +92,6 @@ def options_from_rows(lens: Lens | Narrowing, rows: DataFrame, options: EngineOp
             df = df.select(F.explode(name).alias("_e") if isinstance(dtype, T.ArrayType) else F.col(name).alias("_e")).where("_e IS NOT NULL").select("_e.*")
         for name, source in visit.sources.items():
             own = Engine(options=options).where(df, source["where"]) if source.get("where") is not None else df
-            from gristmill.operators.compiler import Frame
-
             frame = Frame(own.schema)
             value = resolve(frame, name)
             label = resolve(frame, source["label"]).column if source.get("label") else None
@@ -102,6 +99,12 @@ def options_from_rows(lens: Lens | Narrowing, rows: DataFrame, options: EngineOp
     return out
 
 
+def options_from_flat(rows: DataFrame, value: str, label: str | None = None, groups: tuple[str, ...] = ()) -> DataFrame:
+    """The same from the flat rows of a query that has run elsewhere: columns for the value, its label and each group axis."""
+    many = isinstance(rows.schema[value].dataType, T.ArrayType)
+    return _options(rows, F.col(value), many, F.col(label) if label else None, [F.col(g) for g in groups])
+
+
 def values_of(frames: dict[str, DataFrame], limit: int = 10_000) -> dict[str, list[Any]]:
     """The values as lists, for `exposed_surface`. A set over `limit` raises rather than be cut."""
     out = {}

@@ -15,7 +15,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.functions.coercion import NUMERIC
 from gristmill.operators import scalar
 from gristmill.operators.scalar import PHRASES, Value, Verdict, family, literal, shown_column
 from gristmill.options import EngineOptions
@@ -283,5 +282,3 @@ def compared(rule: AggregateRule, result: Column, rhs: Value, options: EngineOpt
     out = scalar.field_rule(as_field, own, rhs, options)
     return Verdict(out.ok, text, out.sure)
 
-
-__all__ = ["NUMERIC", "Compiler", "Frame", "compared", "quantified", "quantifier", "resolve"]

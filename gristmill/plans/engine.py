@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill import bindings
-from gristmill.operators.compiler import Compiler, Frame
+from gristmill.operators.compiler import Compiler, Frame, quantified, quantifier
 from gristmill.operators.relational import Planner
+from gristmill.operators.scalar import Verdict
 from gristmill.options import EngineOptions, get_options
-from gristmill.rules import All, Any_, ArrayRule, If, Literal, Node, RuleError, parse
+from gristmill.rules import All, Any_, ArrayRule, Literal, Node, RuleError, nodes
 from gristmill.sources.schema import Catalog, Model, SchemaSet, infer_model
 
 
@@ -128,9 +128,6 @@ class _Judge(Compiler):
     def compile(self, node: Any, frame: Frame | None = None):
         if isinstance(node, tuple):
             rule, i = node
-            from gristmill.operators.compiler import quantified, quantifier
-            from gristmill.operators.scalar import Verdict
-
             n = F.col("_n")
             matched = F.col(f"_c{i}") if i is not None else n
             return Verdict(quantifier(rule, matched, n), quantified(rule, matched, n - matched), sure=True)
@@ -138,8 +135,6 @@ class _Judge(Compiler):
 
 
 def _asks_outer(rule: ArrayRule) -> bool:
-    from gristmill.rules import nodes
-
     return any(getattr(getattr(n, "rhs", None), "path", None) and not n.rhs.path.startswith("$.") for n in nodes(rule.condition)) if rule.condition is not None else False
 
 
@@ -147,5 +142,3 @@ def check(df: DataFrame, rule: Any, **options: Any) -> DataFrame:
     """`Engine().evaluate` on a frame."""
     return Engine().evaluate(df, rule, **options)
 
-
-__all__ = ["Engine", "If", "check", "parse", "reduce"]

@@ -37,7 +37,6 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     schema = SchemaSet({n: infer_model(n, read(n)) for n in TABLES})
     for name, a, b, keys, back in RELATIONS:
         schema.relate(name, a, b, keys, back)
-    # A second path between the same tables, by two columns: orders to items of their own customer's key and order key.
     return Engine(schema, load=read)
 
 

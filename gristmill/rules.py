@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from gristmill import catalog
@@ -223,5 +223,4 @@ def extremal(rule: ArrayRule) -> ArrayRule:
     return replace(rule, window=Slice(filter=w.filter))
 
 
-_NODES = (Literal, All, Any_, If, FieldRule, DateRule, ArrayRule, AggregateRule)
-__all__ = ["AggregateRule", "All", "Any_", "ArrayRule", "DateRule", "FieldRule", "If", "Literal", "Node", "RuleError", "Slice", "Source", "children", "extremal", "fields", "nodes", "parse", "rebuild"]
+_NODES = (Literal, All, Any_, If, FieldRule, DateRule, ArrayRule, AggregateRule)
\ No newline at end of file
