@@ -6,8 +6,10 @@ A document is the set of 64-bit hashes of its distinct word shingles; equal sets
 2. Shingles are ordered light before heavy, then by hash. Two sets with Jaccard >= t share a shingle among the first
    n - ceil(t n) + 1 of each. A second pass emits these (shingle, class) entries; light ones that only one class holds are dropped
    while the sorted entries stream by. Classes left without entries have no partner.
-3. Similar classes form groups: a class belongs to its most frequent heavy shingle, or else to its least hash. The distinct
-   (shingle, group) entries are the token-group matrix; a class qualifies for the groups whose entries its own ones meet.
+3. Similar classes form groups of near sizes: a class that is mostly heavy belongs to its most frequent heavy shingle, any other to
+   its least hash. The distinct (shingle, group) entries are the token-group matrix. Joining a class's entries to it counts how many
+   of them a group holds. Of two linked sets, the one whose entries end first shares at least `must_share` of them with the other,
+   since those it doesn't share are in the other nowhere; a group that holds fewer is not opened.
 4. Sets of the remaining classes are built from their texts. A group's members are cut into blocks of bounded token count,
    each with its token union. A query opens a block only if it shares enough with the union for the threshold; inside, overlaps
    are counted exactly by postings. A block reports a spanning star of the links found, not the pairs.
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, partitions
+from gristmill.llm.common import cut, free_shuffles, partitions, small_batches
 from gristmill.llm.components import components
 from gristmill.llm.winnowing import Hashes, grams
 
 WORDS, PERCENT = 5, 80
 #: Bound on the heavy shingles, which are broadcast; on those that one batch reports; tokens of a batch; of a block; least count.
-HEAVY, HEAVY_BATCH, BATCH_TOKENS, BLOCK_TOKENS, HEAVY_COUNT = 1 << 17, 20_000, 3_000_000, 300_000, 4
+HEAVY, HEAVY_BATCH, BATCH_TOKENS, BLOCK_TOKENS, HEAVY_COUNT = 1 << 17, 40_000, 6_000_000, 300_000, 2
 #: Bits of the filter on documents whose sets are built.
 FILTER_BITS = 1 << 26
 _MEMO = 300_000
@@ -66,6 +68,23 @@ def needed(n: np.ndarray | int, percent: int):
     return (n * percent + 99) // 100
 
 
+def group_of(key: np.uint64, n: int) -> int:
+    """A group's name, from its key shingle and the size in steps of a tenth."""
+    return int(np.int64((int(key) * 0x9E3779B97F4A7C15 + int(np.log(n) / np.log(1.1)) * 0xD6E8FEB86659FD93) % (1 << 64) - (1 << 63)))
+
+
+def must_share(n: str, least: str, most: str, percent: int) -> str:
+    """SQL for the entries that a set of n shingles shares with a linked one of `least` to `most`.
+
+    Linked sets overlap in t / (1 + t) of both sizes. The set whose entries end first has ceil(t n) - 1 shingles beside them, so the rest
+    of the overlap is among the entries. Which of the two ends first isn't known here: the weaker demand holds.
+    """
+    low = f"greatest({least}, ceil({n} * {percent} / 100))"
+    high = f"least({most}, floor({n} * 100 / {percent}))"
+    overlap = lambda m: f"ceil({percent} * ({n} + {m}) / {100 + percent} - 1e-9)"
+    return f"if({low} > {high}, null, greatest(1, least({overlap(low)} - ceil({n} * {percent} / 100) + 1, {overlap(high)} - ceil({high} * {percent} / 100) + 1)))"
+
+
 def _profile(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held, n_held = Shingles(words), [], 0
@@ -73,8 +92,8 @@ def _profile(words: int):
         def frequent() -> pa.RecordBatch:
             u, c = np.unique(np.concatenate(held), return_counts=True)
             keep = np.nonzero(c >= HEAVY_COUNT)[0]
-            if len(keep) > HEAVY_BATCH:
-                keep = keep[np.argpartition(-c[keep], HEAVY_BATCH)[:HEAVY_BATCH]]
+            if len(keep) > HEAVY_BATCH:  # of equal counts the lesser hashes, so that batches report the same ones
+                keep = keep[np.lexsort((u[keep], -c[keep]))[:HEAVY_BATCH]]
             n = len(keep)
             return pa.record_batch({"doc_id": pa.nulls(n, pa.int64()), "n": c[keep].astype(np.int64), "class": pa.nulls(n, pa.int64()), "shingle": u[keep].view(np.int64)})
 
@@ -109,29 +128,29 @@ def _entries(shared, words: int, percent: int, parts: int):
                     at = np.searchsorted(heavy, s)
                     at[at == len(heavy)] = 0
                     is_heavy = heavy[at] == s
-                    if is_heavy.any():
+                    if 2 * is_heavy.sum() >= len(s):
                         best = np.where(is_heavy, score[at], -1)
                         group = s[int(best.argmax())]
                 m = len(s) - needed(len(s), percent) + 1
                 light = s[~is_heavy][:m]
                 more = s[is_heavy][: m - len(light)]
-                out.append((light, more, name, np.uint64(group)))
+                out.append((light, more, name, len(s), group_of(group, len(s))))
             if out:
                 light, more = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-                names, groups = np.array([x[2] for x in out], np.int64), np.array([x[3] for x in out], np.uint64).view(np.int64)
+                names, sizes, groups = (np.array([x[i] for x in out], np.int64) for i in (2, 3, 4))
                 of_light, of_more = (np.repeat(names, [len(x[i]) for x in out]) for i in (0, 1))
                 t = np.concatenate([light.view(np.int64), more.view(np.int64)])
                 c = np.concatenate([of_light, of_more])
                 # Light entries meet by shingle. Heavy ones need not meet here; they and the classes' groups are dealt by class.
                 to = np.concatenate([light.view(np.int64), of_more])
                 n = len(t)
-                yield pa.record_batch({"to": np.concatenate([to, names]) % parts, "shingle": np.concatenate([t, names]), "class": np.concatenate([c, names]), "group": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(groups)]), "kind": np.concatenate([np.zeros(len(light), np.int8), np.ones(len(more), np.int8), np.full(len(names), 2, np.int8)])})
+                yield pa.record_batch({"to": np.concatenate([to, names]) % parts, "shingle": np.concatenate([t, sizes]), "class": np.concatenate([c, names]), "group": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(groups)]), "kind": np.concatenate([np.zeros(len(light), np.int8), np.ones(len(more), np.int8), np.full(len(names), 2, np.int8)])})
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted entries, what isn't light or is held by two classes at least. Needs the last entry only, however long a run is."""
+    """Of sorted entries, each once, what isn't light or is held by two classes at least. Needs the last entry only, however long a run."""
     last: pa.RecordBatch | None = None
     last_out = True
     for batch in batches:
@@ -152,12 +171,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last is not None and last_out and kind[0] == 0:
             first_other[0] = 0  # the run was found shared in an earlier batch
         new = np.concatenate([[True], ~twin])
-        keep = (kind != 0) | ((index >= first_other[run]) & new)
+        keep = new & ((kind != 0) | (index >= first_other[run]))
         ends = first_other[first_other < len(t)]
         lead = start[run[ends]] if len(ends) else ends
         keep[lead] = True  # of equal entries before the second class, the first
         if last is not None:
-            keep[0] = keep[0] and not last_out and kind[0] == 0
+            keep[0] = keep[0] and not last_out
         last_out_now = bool((kind[-1] != 0) or first_other[run[-1]] < len(t))
         if keep.any():
             yield whole.filter(pa.array(keep)).select(["shingle", "class", "group", "kind"])
@@ -188,7 +207,7 @@ def _sets(shared, words: int):
             keep = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
             batch = batch.filter(pa.array(keep))
             sets = [shingles.of(t) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"class": np.array([class_of(s) for s in sets], np.int64), "n": np.array([len(s) for s in sets], np.int64), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+            yield pa.record_batch({"class": np.array([class_of(s) for s in sets], np.int64), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return run
 
@@ -246,16 +265,16 @@ def _open(percent: int):
     return run
 
 
-def _placed(opened: DataFrame, sizes: DataFrame) -> DataFrame:
+def _placed(opened: DataFrame) -> DataFrame:
     """to_group, qb, mb, class, query, member: where each class is looked at.
 
     A group's members fall into blocks of bounded token count, and so do the queries from other groups. A pair of a group's own blocks
     is looked at once, as is a pair of groups: the class of the greater group asks.
     """
-    rows = opened.where("group >= to_group").join(sizes, "class").withColumn("own", F.col("group") == F.col("to_group"))
+    rows = opened.where("group > to_group").select("class", "to_group", "n", F.lit(False).alias("own"))
     own_n, other_n = (F.coalesce(F.sum(F.when(F.col("own") == flag, F.col("n"))), F.lit(0)) for flag in (True, False))
-    mine = opened.select("class", "group").distinct().join(sizes, "class").select("class", F.col("group").alias("to_group"), "n", F.lit(True).alias("own"))
-    rows = mine.union(rows.where("not own").select("class", "to_group", "n", "own"))
+    mine = opened.select("class", "group", "n").distinct().select("class", F.col("group").alias("to_group"), "n", F.lit(True).alias("own"))
+    rows = mine.union(rows)
     blocks = rows.groupBy("to_group").agg(F.greatest(F.ceil(own_n / BLOCK_TOKENS), F.lit(1)).alias("nb"), F.ceil(other_n / BLOCK_TOKENS).alias("fb"))
     rows = rows.join(blocks, "to_group").withColumn("h", F.pmod(F.xxhash64("class"), F.when(F.col("own"), F.col("nb")).otherwise(F.col("fb"))))
     where = """if(own,
@@ -268,7 +287,7 @@ def _placed(opened: DataFrame, sizes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = cut(texts.mapInArrow(_profile(words), "doc_id long, n long, class long, shingle long"))
     heavy = profile.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HEAVY).collect()
     tokens = np.array([r["shingle"] for r in heavy], np.int64).view(np.uint64)
@@ -279,22 +298,23 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     entries = texts.mapInArrow(_entries(shared, words, percent, 1 << 20), "to long, shingle long, class long, group long, kind byte")
     entries = entries.repartition(2 * partitions(spark), "to").drop("to").sortWithinPartitions("kind", "shingle", "class")
     entries = cut(entries.mapInArrow(_shared, "shingle long, class long, group long, kind byte"))
-    groups = entries.where("kind = 2").groupBy("class").agg(F.min("group").alias("group"))
-    active = cut(entries.where("kind < 2").select("class", "shingle").distinct().join(groups, "class"))
+    free_shuffles(spark)
+    groups = entries.where("kind = 2").select("class", "group", F.col("shingle").alias("n"))
+    active = cut(entries.where("kind < 2").select("class", "shingle").join(groups, "class"))
 
     matrix = active.groupBy("shingle", "group").agg(F.count("*").alias("holders")).withColumnRenamed("group", "to_group")
-    meets = active.join(matrix, "shingle").where("group <> to_group OR holders > 1")
-    opened = cut(meets.select("class", "group", "to_group").distinct())
+    meets = active.join(matrix, "shingle").where("group <> to_group OR holders > 1").groupBy("class", "group", "n", "to_group").agg(F.count("*").alias("common"))
+    sizes = active.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("group", "to_group")
+    opened = meets.join(sizes, "to_group").where(f"common >= {must_share('n', 'least', 'most', percent)}")
+    opened = cut(opened.select("class", "group", "to_group", "n"))
+    free_shuffles(spark)
     asked = opened.select("class").distinct()
 
     firsts = sized.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     name = F.coalesce("doc_id", F.lit(-1))
     bitmap = _filtered(spark, firsts.join(asked, "class", "left_semi").select(name.alias("doc_id")))
-    sets = texts.withColumn("slot", F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)).cast("int")).mapInArrow(_sets(bitmap, words), "class long, n long, tokens binary")
-    sets = cut(sets.join(asked, "class", "left_semi").dropDuplicates(["class"]))
-
-    placed = _placed(opened, sets.select("class", "n"))
-    edges = placed.join(sets.drop("n"), "class").groupBy("to_group", "qb", "mb").applyInArrow(_open(percent), "a long, b long")
+    sets = texts.withColumn("slot", F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)).cast("int")).mapInArrow(_sets(bitmap, words), "class long, tokens binary")
+    edges = _placed(opened).join(sets, "class").groupBy("to_group", "qb", "mb").applyInArrow(_open(percent), "a long, b long")
     roots = components(edges)
 
     classes = firsts.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
