@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import small_batches
 
 PER_CLASS, OTHERS, MAX_CUES = 1000, 3, 5000
+#: The field itself is fitted on whole sample texts up to this many letters, a third of them toxic; it has few weights beside the cues.
+FIELD_LETTERS = 4_500_000
 _TOKEN = re.compile(r"\w+")
 _BEGINNINGS = (3, 4, 5, 6, 7, 8)
 _MEMO = 500_000
@@ -177,11 +179,17 @@ def find_cues(texts: list[str | None], toxic: np.ndarray) -> dict[str, int]:
     k, c = np.array(list(tried.values()), float), np.array([elsewhere[f] for f in tried], float)
     own = k / (k + c)
     ratio = k * np.log(own / share) + c * np.log(np.maximum(1 - own, 1e-12) / (1 - share))
-    keep = (ratio >= np.log(max(1, len(tried))) + 3) & (own >= max(0.7, share + 0.75 * (1 - share)))
+    keep = (ratio >= np.log(max(1, len(tried))) + 4) & (own >= max(0.7, share + 0.85 * (1 - share)))
     found = sorted(((-r, f) for r, f, ok in zip(ratio, tried, keep, strict=True) if ok))[:MAX_CUES]
     return {f: i for i, (_, f) in enumerate(found)}
 
 
+def within(texts: list[str | None], which: np.ndarray, letters: int) -> np.ndarray:
+    """The first of some texts, whole ones, that come to no more than so many letters (one at least)."""
+    sizes = np.cumsum([len(texts[i] or "") for i in which])
+    return which[: max(1, int((sizes <= letters).sum()))]
+
+
 def fit(texts: list[str | None], toxic: np.ndarray, prior: float | None, steps: int = 30) -> Field:
     model = Field(prior=prior)
     if prior is None or toxic.min(initial=1) == toxic.max(initial=0):
@@ -190,11 +198,11 @@ def fit(texts: list[str | None], toxic: np.ndarray, prior: float | None, steps:
     if not model.cues:
         return model
     model.weights = np.zeros(len(model.cues))
-    spare = np.nonzero(toxic == 0)[0][int((toxic == 1).sum()) * 2 :]  # enough for cues, more than the field needs
-    keep = np.setdiff1d(np.arange(len(texts)), spare)
+    keep = np.sort(np.concatenate([within(texts, np.nonzero(toxic == x)[0], share) for x, share in ((1, FIELD_LETTERS // 3), (0, FIELD_LETTERS * 2 // 3))]))
     texts, toxic = [texts[i] for i in keep], toxic[keep]
     tagger = Tagger(model)
     patterns, lengths = tagger.encode(texts)
+    tagger.memo.clear()
     own = [list(k) for k in tagger.patterns]
     doc = np.repeat(np.arange(len(texts)), lengths)
     y = ((patterns > 0) & (toxic[doc] == 1)).astype(float)
