@@ -21,6 +21,7 @@ doc_id takes the component of its class (null if alone); repeated rows are of on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,12 +78,16 @@ def must_share(n: str, least: str, most: str, percent: int) -> str:
     """SQL for the entries that a set of n shingles shares with a linked one of `least` to `most`.
 
     Linked sets overlap in t / (1 + t) of both sizes. The set whose entries end first has ceil(t n) - 1 shingles beside them, so the rest
-    of the overlap is among the entries. Which of the two ends first isn't known here: the weaker demand holds.
+    of the overlap is among the entries. Which of the two ends first isn't known here: the weaker demand holds. If the other one does, of
+    size m, the demand is overlap(m) - ceil(t m) + 1. It doesn't fall with every m, but does (or stays) over `step` of them, the least
+    number with a whole t * step: ceil(t m) rises by just that, the overlap by no more. So its least value is among the last `step` sizes.
     """
     low = f"greatest({least}, ceil({n} * {percent} / 100))"
     high = f"least({most}, floor({n} * 100 / {percent}))"
     overlap = lambda m: f"ceil({percent} * ({n} + {m}) / {100 + percent} - 1e-9)"
-    return f"if({low} > {high}, null, greatest(1, least({overlap(low)} - ceil({n} * {percent} / 100) + 1, {overlap(high)} - ceil({high} * {percent} / 100) + 1)))"
+    last = [f"greatest({low}, {high} - {i})" for i in range(100 // math.gcd(percent, 100))]
+    others = ", ".join(f"{overlap(m)} - ceil({m} * {percent} / 100) + 1" for m in last)
+    return f"if({low} > {high}, null, greatest(1, least({overlap(low)} - ceil({n} * {percent} / 100) + 1, {others})))"
 
 
 def _profile(words: int):

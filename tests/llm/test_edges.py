@@ -131,6 +131,18 @@ def test_jaccard_against_all_pairs(make, seed, monkeypatch):
     assert found == plain_components(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 75, 63])
+def test_jaccard_demand_is_a_lower_bound(spark, percent):
+    """The demand on shared entries is the least one of all sizes that a group may hold."""
+    exact = lambda n, m: -(-percent * (n + m) // (100 + percent)) - -(-percent * max(n, m) // 100) + 1
+    cases = spark.sql("SELECT n, least, most FROM (SELECT explode(sequence(1, 60)) n), (SELECT explode(sequence(1, 75)) least), (SELECT explode(sequence(0, 7)) d) LATERAL VIEW explode(array(least + d)) AS most")
+    for n, least, most, found in cases.select("*", F.expr(jaccard_join.must_share("n", "least", "most", percent)).alias("found")).drop("d").collect():
+        linked = [m for m in range(least, most + 1) if 100 * min(n, m) >= percent * max(n, m)]
+        # either of two linked sets may be the one whose entries end first
+        wanted = min((max(1, min(exact(n, m), -(-percent * (n + m) // (100 + percent)) - -(-percent * min(n, m) // 100) + 1)) for m in linked), default=None)
+        assert found == wanted, (n, least, most)
+
+
 def test_jaccard_empty(make):
     assert jaccard_join.jaccard_components(make([])).collect() == []
 
