@@ -1,10 +1,14 @@
 """Secret scans by a randomness test battery. DataFrame and SQL functions only.
 
 Base spans come from three patterns. Besides, every long run of token letters is a candidate: its encoding is inferred from the
-letters it holds, and the battery runs on the letters' indices in that alphabet:
+letters it holds. A run that fits no alphabet is split at / and +, at - and _, and at all four; each long piece that fits one is a
+candidate. Digits alone are none, as written numbers are no less random. The battery runs on the letters' indices in the alphabet:
 - chi-squared against a uniform alphabet, runs about the alphabet's middle, lag-1 serial correlation. A random string passes all
   three; one that a test rejects at GATE is no secret.
 - the coincidence index against that of written language gives a p-value for "this is text", with a variance that knows the length.
+  Where no digit is held, it counts a letter's two cases as one, as written language does. Upper-case hex coincides about as often as
+  language; its p-value is the chance that so many written letters are all from A to F (HEX_SHARE is above that of English, French,
+  German, Italian, Portuguese and Spanish), and its band counts the candidates of that length in all encodings, since few texts get there.
 False discoveries are controlled at FDR by Benjamini-Hochberg within each band of encoding and length. The p-values are
 counted in fixed bins, so the step-up rule needs a table of bounded size and no sort of all candidates; a bin counts with its upper
 edge, which keeps the rule on the safe side.
@@ -33,7 +37,20 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "upperhex": "0123456789ABCDEF",
+    "lower32": "abcdefghijklmnopqrstuvwxyz234567",
+    "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "letters64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/",
+    "letters64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_",
 }
+#: Fixed value: no less than the share of the letters a to f in written language.
+HEX_SHARE = 0.4
+#: Pieces of a run that fits no alphabet.
+PIECES = ("[A-Za-z0-9_-]{20,}={0,2}", "[A-Za-z0-9+/]{20,}={0,2}", "[A-Za-z0-9]{20,}={0,2}")
 #: Sum of squared and of cubed letter shares of written English.
 COINCIDENCE, CUBES = 0.0655, 0.0052
 #: The upper tail of the normal distribution (Abramowitz and Stegun 26.2.17).
@@ -43,8 +60,8 @@ BIN, BINS = 0.05, 800
 _SPAN = "array<struct<start: bigint, end: bigint, kind: int, text: string, value: string>>"
 
 
-def _spans(pattern: str, needed: str, kind: int, value: int, least: int, text: str = "_text") -> Column:
-    """Spans of the leftmost matches that don't overlap, in order, of those whose group `value` has `least` letters."""
+def _spans(pattern: str, needed: str, kind: int, value: int, least: int, text: str = "_text") -> str:
+    """SQL for the spans of the leftmost matches that don't overlap, in order, of those whose group `value` has `least` letters."""
     q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     found, groups, between = f"regexp_extract_all({text}, {q(pattern)}, 0)", f"regexp_extract_all({text}, {q(pattern)}, {value})", f"split({text}, {q(pattern)}, -1)"
     rows = f"arrays_zip({found}, {groups}, transform(slice({between}, 1, greatest(size({found}), 1)), p -> length(p)))"
@@ -52,7 +69,7 @@ def _spans(pattern: str, needed: str, kind: int, value: int, least: int, text: s
         (acc, x) -> named_struct('at', acc.at + x.`2` + length(x.`0`), 'out', if(length(x.`1`) < {least}, acc.out, concat(acc.out, array(
             named_struct('start', acc.at + x.`2`, 'end', acc.at + x.`2` + length(x.`0`), 'kind', {kind}, 'text', x.`0`, 'value', x.`1`))))),
         acc -> acc.out)"""
-    return F.expr(f"if(rlike({text}, {q(needed)}), {walk}, cast(array() as {_SPAN}))")
+    return f"if(rlike({text}, {q(needed)}), {walk}, cast(array() as {_SPAN}))"
 
 
 def _upper(z: str) -> str:
@@ -69,18 +86,33 @@ def _bind(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def _encoding(s: str) -> str:
+    """SQL for the alphabet that a run fits, null if none."""
+    both = f"rlike({s}, '[a-z]') and rlike({s}, '[A-Z]')"
+    rules = [("^[0-9]+$", "", None), ("^[0-9a-f]+$", f"rlike({s}, '[0-9]')", "hex"), ("^[0-9A-F]+$", f"rlike({s}, '[0-9]')", "upperhex")]
+    rules += [("^[A-Z]+$", "", "upper"), ("^[a-z]+$", "", "lower"), ("^[A-Z2-7]+$", "", "base32"), ("^[a-z2-7]+$", "", "lower32"), ("^[A-Z0-9]+$", "", "base36"), ("^[a-z0-9]+$", "", "lower36")]
+    rules += [("^[A-Za-z]+$", "", "letters"), ("^[A-Za-z+/]+$", both, "letters64"), ("^[A-Za-z_-]+$", both, "letters64url"), ("^[A-Za-z0-9+/]+$", both, "base64"), ("^[A-Za-z0-9_-]+$", both, "base64url")]
+    return "case " + " ".join(f"when rlike({s}, '{p}')" + (f" and {more}" if more else "") + f" then {repr(k) if k else 'null'}" for p, more, k in rules) + " end"
+
+
+def _candidates(runs: str = "_found") -> str:
+    """SQL for the runs that fit an alphabet, and the pieces that do of those that don't."""
+    fits = lambda x: f"({_encoding(f"rtrim('=', {x}.text)")}) is not null"
+    pieces = "concat(" + ", ".join(_spans(p, p, 3, 0, 20, "r.text") for p in PIECES) + ")"
+    moved = f"transform({pieces}, p -> named_struct('start', r.start + p.start, 'end', r.start + p.end, 'kind', p.kind, 'text', p.text, 'value', p.value))"
+    return f"flatten(transform({runs}, r -> if({fits('r')}, array(r), array_distinct(filter({moved}, y -> {fits('y')})))))"
+
+
 def _tested(candidate: str = "c") -> str:
     """SQL for the battery's verdict on one candidate: a struct of encoding, band, bin and whether the gates are passed."""
     s = f"rtrim('=', {candidate}.text)"
     letters = "case " + " ".join(f"when e.encoding = '{k}' then '{v}'" for k, v in ALPHABETS.items()) + " end"
-    encoding = (
-        "case when rlike(s, '^[0-9]+$') or not rlike(s, '[0-9]') then null when rlike(s, '^[0-9a-f]+$') then 'hex' when rlike(s, '^[A-Z2-7]+$') then 'base32' "
-        "when rlike(s, '^[A-Za-z0-9+/]+$') and rlike(s, '[a-z]') and rlike(s, '[A-Z]') then 'base64' when rlike(s, '^[A-Za-z0-9_-]+$') and rlike(s, '[a-z]') and rlike(s, '[A-Z]') then 'base64url' end"
-    )
     sums = """aggregate(e.v, named_struct('n', 0D, 's', 0D, 'ss', 0D, 'sp', 0D, 'high', 0D, 'runs', 0D, 'prev', cast(null as int)),
         (a, x) -> named_struct('n', a.n + 1, 's', a.s + x, 'ss', a.ss + x * x, 'sp', a.sp + coalesce(a.prev * x, 0), 'high', a.high + if(2 * x >= e.k, 1, 0),
             'runs', a.runs + if(a.prev is null or (2 * x >= e.k) <> (2 * a.prev >= e.k), 1, 0), 'prev', x))"""
-    pairs = "aggregate(array_distinct(e.v), 0D, (a, x) -> a + power(size(filter(e.v, y -> y = x)), 2))"
+    pairs = lambda v: f"aggregate(array_distinct({v}), 0D, (a, x) -> a + power(size(filter({v}, y -> y = x)), 2))"
+    # as written language has it, a letter's cases are one
+    folded = "if(startswith(e.encoding, 'letters'), " + _bind("transform(e.v, x -> if(x < 52, x % 26, x))", "w", pairs("w")) + ", f.sq)"
     # the three tests of randomness
     chi = "(e.k * f.sq / f.n - f.n - (e.k - 1)) / sqrt(2 * (e.k - 1) * (1 - 1 / f.n))"
     low = "(f.n - f.high)"
@@ -90,21 +122,22 @@ def _tested(candidate: str = "c") -> str:
     var = "(f.ss / f.n - f.s * f.s / f.n / f.n)"
     serial = f"if({var} > 0, abs((f.sp / (f.n - 1) - f.s * f.s / f.n / f.n) / {var}) * sqrt(f.n), 99D)"
     # written language
-    ic = "((f.sq - f.n) / (f.n * (f.n - 1)))"
+    ic = f"(({folded} - f.n) / (f.n * (f.n - 1)))"
     text_sd = f"sqrt(4 * {CUBES - COINCIDENCE**2}D / f.n + 2 * {COINCIDENCE - COINCIDENCE**2}D / (f.n * f.n))"
     verdict = f"""named_struct('encoding', e.encoding, 'band', concat(e.encoding, ':', cast(floor(log2(f.n) * 2) as string)),
-        'bin', {_bind(_upper("t"), "p", f"cast(least(floor(-log10(greatest(p, 1e-300D)) / {BIN}D), {BINS - 1}) as int)").replace("t)", "t)")},
+        'bin', {_bind(f"if(e.encoding = 'upperhex', power({HEX_SHARE}D, size(filter(e.v, x -> x >= 10))), {_upper('t')})", "p", f"cast(least(floor(-log10(greatest(p, 1e-300D)) / {BIN}D), {BINS - 1}) as int)").replace("t)", "t)")},
         'gate', {_upper("g.chi")} >= {GATE}D and 2 * {_upper("g.runs")} >= {GATE}D and 2 * {_upper("g.serial")} >= {GATE}D)"""
     verdict = _bind(f"({COINCIDENCE}D - {ic}) / {text_sd}", "t", _bind(f"named_struct('chi', {chi}, 'runs', {runs}, 'serial', {serial})", "g", verdict))
-    with_sums = _bind(sums, "a", _bind(f"named_struct('n', a.n, 's', a.s, 'ss', a.ss, 'sp', a.sp, 'high', a.high, 'runs', a.runs, 'sq', {pairs})", "f", verdict))
+    with_sums = _bind(sums, "a", _bind(f"named_struct('n', a.n, 's', a.s, 'ss', a.ss, 'sp', a.sp, 'high', a.high, 'runs', a.runs, 'sq', {pairs('e.v')})", "f", verdict))
     indices = _bind(f"named_struct('encoding', e.encoding, 'k', length({letters}), 'v', transform(split(s, ''), x -> instr({letters}, x) - 1))", "e", with_sums)
-    return _bind(s, "s", _bind(f"named_struct('encoding', {encoding})", "e", f"if(e.encoding is null, null, {indices})"))
+    return _bind(s, "s", _bind(f"named_struct('encoding', {_encoding('s')})", "e", f"if(e.encoding is null, null, {indices})"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """`docs` with base (spans of the three patterns) and tested (candidates that have an encoding, with band, bin and gate)."""
-    base = F.concat(_spans(ASSIGN, ASSIGN_LONG, 0, 2, 12), _spans(ACCESS, ACCESS, 1, 0, 18), _spans(HEX, HEX, 2, 0, 16))
-    out = docs.withColumn("_text", text_or_empty()).withColumn("base", base).withColumn("_found", _spans(CANDIDATE, CANDIDATE, 3, 0, 20))
+    base = F.concat(*(F.expr(_spans(*x)) for x in ((ASSIGN, ASSIGN_LONG, 0, 2, 12), (ACCESS, ACCESS, 1, 0, 18), (HEX, HEX, 2, 0, 16))))
+    out = docs.withColumn("_text", text_or_empty()).withColumn("base", base).withColumn("_found", F.expr(_spans(CANDIDATE, CANDIDATE, 3, 0, 20)))
+    out = out.withColumn("_found", F.expr(_candidates()))
     out = out.withColumn("base", F.expr("array_sort(transform(base, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end)))"))
     tested = f"filter(transform(_found, c -> named_struct('start', c.start, 'end', c.end, 'test', {_tested()})), c -> c.test is not null)"
     return out.withColumn("tested", F.expr(tested)).drop("_text", "_found")
@@ -116,7 +149,9 @@ def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[str, int]:
     w = Window.partitionBy("band")
     up = F.sum("n").over(w.orderBy(F.desc("bin")))
     edge = F.pow(F.lit(10.0), -F.col("bin") * BIN)
-    ok = counts.withColumn("up", up).withColumn("m", F.sum("n").over(w)).where(edge <= F.lit(fdr) * F.col("up") / F.col("m"))
+    same_length = F.sum("n").over(Window.partitionBy(F.substring_index("band", ":", -1)))
+    m = F.when(F.col("band").startswith("upperhex:"), same_length).otherwise(F.sum("n").over(w))
+    ok = counts.withColumn("up", up).withColumn("m", m).where(edge <= F.lit(fdr) * F.col("up") / F.col("m"))
     return {r["band"]: r["least"] for r in ok.groupBy("band").agg(F.min("bin").alias("least")).collect()}
 
 

@@ -324,3 +324,19 @@ def test_random_strings_are_found(make):
     out = secrets.find_secrets(make(rows)).collect()
     hit = {r["doc_id"] for r in out if any(s["kind"] == 3 for s in r["secrets"])}
     assert len(hit & set(range(40))) >= 30 and len(hit - set(range(40))) <= 3
+
+
+@pytest.mark.parametrize("kind", ["upperhex", "lower36", "base36", "lower32", "letters", "path"])
+def test_secrets_of_every_alphabet(make, kind):
+    """Keys in alphabets beside the common ones, and keys glued to what fits none, by their exact spans."""
+    rng = random.Random(5)
+    before = "/my-app_" if kind == "path" else " "
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" if kind == "path" else secrets.ALPHABETS[kind]
+    keys = ["".join(rng.choice(letters) for _ in range(64)) for _ in range(40)]
+    prose = ["".join(rng.choice(["the", "ing", "and", "ion", "ent", "her", "tha"]) for _ in range(22)) for _ in range(100)]
+    prose = [p.upper() if i % 2 else p for i, p in enumerate(prose)]
+    rows = [(i, f"see{before}{k} more") for i, k in enumerate(keys)] + [(1000 + i, f"some {p} text") for i, p in enumerate(prose)]
+    out = {r["doc_id"]: {(s["start"], s["end"]) for s in r["secrets"] if s["kind"] == 3} for r in secrets.find_secrets(make(rows)).collect()}
+    at = 3 + len(before)
+    assert sum((at, at + 64) in out[i] for i in range(40)) >= 30
+    assert sum(bool(out[1000 + i]) for i in range(100)) <= 3
