@@ -3,8 +3,8 @@
 For each host a wrapper is induced from a bounded sample (the SAMPLE pages of least id hash): their DOM trees are aligned to the
 first one by simple tree matching. Aligned nodes whose own text is the same in all pages that have them are template; the others are
 slots. The slots' text, without links and the parts that HTML itself names as no content, settles which element holds the content.
-Every page of the host is then read whole by its wrapper: the content element's blocks, without template blocks (outside of an element
-that HTML names as the article) and without menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments.
+Every page of the host is then read whole by its wrapper: the content element's blocks, without template blocks (elements at a template's
+path with its whole text; outside of an element that HTML names as the article, lines of a template's own text, too) and without menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments.
 A page in which the wrapper's element is missing, or a host of one page, gets the same choice from its own tree.
 
 The sample is found by ids alone; wrappers are small. They are broadcast if their number allows it (checked), else joined by host, where
@@ -132,8 +132,8 @@ def is_aside(node: Node, inside_article: bool) -> bool:
     return bool(ASIDE_NAMES.search(node.names) or not inside_article and HEADER_NAMES.search(node.names))
 
 
-def blocks_of(node: Node, skip=None) -> list[str]:
-    """The node's block texts in page order. `skip(text)` leaves a block out."""
+def blocks_of(node: Node, skip=None, gone: frozenset[int] | set[int] = frozenset()) -> list[str]:
+    """The node's block texts in page order. `skip(text)` leaves a block out; so does an element's id in `gone`."""
     out: list[str] = []
     line: list[str] = []
 
@@ -154,7 +154,7 @@ def blocks_of(node: Node, skip=None) -> list[str]:
         if not entering:
             flush()
             continue
-        if what is not node and is_aside(what, inside):
+        if what is not node and (id(what) in gone or is_aside(what, inside)):
             flush() if block else line.append(" ")
             continue
         if what.tag in ("br", "hr"):
@@ -225,6 +225,20 @@ def own_text(node: Node) -> str:
     return _SPACE.sub(" ", entities.unescape(" ".join(c for c in node.children if isinstance(c, str)))).strip()
 
 
+def whole_text(node: Node) -> str:
+    """All text below the node, as one line."""
+    parts, todo = [], [node]
+    while todo:
+        what = todo.pop()
+        if isinstance(what, str):
+            parts.append(what)
+            continue
+        if what.tag in BLOCKS or what.tag == "br":
+            parts.append(" ")
+        todo.extend(reversed(what.children))
+    return _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+
+
 def choose(weights: dict[str, tuple[float, bool]]) -> str | None:
     """The label path of the content element. weights: text of the slots at or below each path, and whether it is an article.
 
@@ -253,25 +267,30 @@ def text_weights(root: Node, template: set[tuple[str, str]], into: dict[str, lis
 
 def induce(sources: list[str]) -> dict:
     """The wrapper of same-host pages: path of the content element, and template blocks by path."""
-    trees = [parse(s) for s in sources if s]
+    trees = [parse(s) for s in dict.fromkeys(sources) if s]  # copies of one page don't make its text template
     seen: dict[int, Counter] = {}
+    whole: dict[int, Counter] = {}
     paths: dict[int, str] = {}
     if trees:
         paths = {id(n): p for n, p, _ in walk(trees[0])}
         for node, _, _ in walk(trees[0]):
             seen[id(node)] = Counter([own_text(node)])
+            if node.tag in BLOCKS:
+                whole[id(node)] = Counter([whole_text(node)])
         for tree in trees[1:]:
             pairs: list[tuple[Node, Node]] = []
             match(trees[0], tree, pairs)
             for a, b in pairs:
                 if id(a) in seen:
                     seen[id(a)][own_text(b)] += 1
+                if id(a) in whole:
+                    whole[id(a)][whole_text(b)] += 1
     least = max(TEMPLATE_PAGES, TEMPLATE_SHARE * len(trees))
-    template = {(paths[i], text) for i, texts in seen.items() for text, k in texts.items() if text and len(texts) == 1 and k >= least}
+    template, blocks = ({(paths[i], text) for i, texts in found.items() for text, k in texts.items() if text and len(texts) == 1 and k >= least} for found in (seen, whole))
     weights: dict[str, list] = {}
     for tree in trees:
         text_weights(tree, template, weights)
-    return {"content": choose({p: (w, a) for p, (w, a) in weights.items()}), "template": sorted({t for _, t in template})}
+    return {"content": choose({p: (w, a) for p, (w, a) in weights.items()}), "template": sorted({t for _, t in template}), "blocks": sorted(blocks)}
 
 
 def extract(source: str | None, wrapper: dict | None) -> str:
@@ -291,7 +310,10 @@ def extract(source: str | None, wrapper: dict | None) -> str:
         nodes = at_path.get("/html/body") or [root]
     last = (content or "").rsplit("/", 1)[-1].split(".")[0]
     template = set(wrapper["template"]) if wrapper and last not in ("article", "main") else set()
-    return " ".join(t for node in nodes for t in blocks_of(node, template.__contains__ if template else None))
+    gone: set[int] = set()
+    for path, text in wrapper["blocks"] if wrapper else ():
+        gone.update(id(n) for n in at_path.get(path, ()) if id(n) not in gone and whole_text(n) == text)
+    return " ".join(t for node in nodes for t in blocks_of(node, template.__contains__ if template else None, gone))
 
 
 def host_of(url: str | None) -> str:

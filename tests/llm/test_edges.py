@@ -295,6 +295,17 @@ def test_extraction_wrappers(spark):
     assert extraction.extract_text(df.where("page_id > 99")).collect() == []
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div class='story'"])
+def test_extraction_template_inside_content(spark, tag):
+    """Constant blocks go wherever they stand, with inline markup too; copies of one page keep their text."""
+    inner = "<h1>T{0}</h1><div class='box7'>Enjoyed this? Tell a friend.</div><p>Body text number {0} is long enough, {0} times.</p><p>Join <b>our</b> list</p>"
+    page = f"<html><body><{tag}>{inner}</{tag.split()[0]}></body></html>"
+    rows = [(i, f"http://one.example/{i}", page.format(i)) for i in range(12)] + [(100 + i, f"http://copies.example/{i}", page.format(7)) for i in range(6)]
+    out = {r["page_id"]: r["text"] for r in extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"T{i} Body text number {i} is long enough, {i} times." for i in range(12))
+    assert all("Body text number 7" in out[100 + i] for i in range(6))
+
+
 def test_tree_matching():
     a, b = (extraction.parse(f"<div><p>x</p>{m}<ul><li>1</li><li>2</li></ul></div>") for m in ("", "<hr><p>y</p>"))
     pairs: list = []
