@@ -25,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a temporary one does in local mode only."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = os.path.join(tempfile.gettempdir(), "gristmill-checkpoints")
         spark.conf.set("spark.checkpoint.dir", own)
     if not spark.sparkContext.getCheckpointDir():

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut, free_shuffles, partitions, small_batches
@@ -291,6 +291,11 @@ def _placed(opened: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs` (doc_id, text)."""
+    return jaccard_classes(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The same with each row's class and root, the least class that it reaches: they tell rows apart that share a doc_id."""
     spark = docs.sparkSession
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = cut(texts.mapInArrow(_profile(words), "doc_id long, n long, class long, shingle long"))
@@ -324,6 +329,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     classes = firsts.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = classes.join(least, "root").select("class", "component_id")
+    labels = classes.join(least, "root").select("class", "root", "component_id")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return sized.join(labels, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return sized.join(labels, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "class", "root")
+
+
+def class_column(text: Column, words: int = WORDS) -> Column:
+    """The class of a text, as `jaccard_classes` names it."""
+
+    @F.pandas_udf("long")
+    def name(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingles = Shingles(words)
+        for texts in batches:
+            yield pd.Series([class_of(shingles.of(t)) for t in texts], dtype="int64")
+
+    return name(text.cast("string"))

@@ -1,20 +1,23 @@
 """Toxicity by a linear-chain conditional random field.
 
-Learning, on a bounded sample (at most `per_class` toxic and OTHERS times as many other labelled documents, least id hash first, never a held-out one):
-words and word beginnings that toxic documents hold far oftener become cues; in toxic documents tokens with a cue are labelled 1, all
+Learning, on a bounded sample (at most `per_class` toxic and OTHERS times as many other labelled documents and `letters` letters, by id
+hash, never a held-out one; a text that doesn't fit is passed over, whole): words and word beginnings that toxic documents hold far oftener become cues; in toxic documents tokens with a cue are labelled 1, all
 other tokens 0; from these labelled tokens the field's weights (cues, cues of the neighbours, transitions) are fitted by gradient
-ascent on the conditional likelihood. A logistic curve from the marginals to the document's label is fitted last.
+ascent on the conditional likelihood. A logistic curve from the marginals to the document's label is fitted last. One task of an executor
+fits; the driver sees ids and sizes of the sample, and the model.
 
 Scoring: forward-backward marginals of every token of every whole text; their sum and maximum give the score, runs of tokens over
 one half give the offending offsets (code points). Labels, language, source and id are no input of a score. The model is small
 (at most MAX_CUES cues) and broadcast.
 
 Defined cases: null or wordless texts score as texts without any cue; null labels and labels without a document teach nothing; of
-labels for one id the greatest counts; without labels of both kinds every score is the share of toxic labels (0 without labels).
+labels for one id the greatest counts, of texts for one id the last in order; without labels of both kinds every score is the share of
+toxic labels (0 without labels).
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,14 +25,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import small_batches
+from gristmill.llm.common import cut, small_batches
 
 PER_CLASS, OTHERS, MAX_CUES = 1000, 3, 5000
-#: The field itself is fitted on whole sample texts up to this many letters, a third of them toxic; it has few weights beside the cues.
-FIELD_LETTERS = 4_500_000
+#: Letters of the sample's texts at most, a third of them toxic; of those that the field itself is fitted on, as it has few weights beside the cues.
+SAMPLE_LETTERS, FIELD_LETTERS = 24_000_000, 4_500_000
 _TOKEN = re.compile(r"\w+")
 _BEGINNINGS = (3, 4, 5, 6, 7, 8)
 _MEMO = 500_000
@@ -184,13 +188,21 @@ def find_cues(texts: list[str | None], toxic: np.ndarray) -> dict[str, int]:
     return {f: i for i, (_, f) in enumerate(found)}
 
 
-def within(texts: list[str | None], which: np.ndarray, letters: int) -> np.ndarray:
-    """The first of some texts, whole ones, that come to no more than so many letters (one at least)."""
-    sizes = np.cumsum([len(texts[i] or "") for i in which])
-    return which[: max(1, int((sizes <= letters).sum()))]
+def within(sizes: list[int], toxic: np.ndarray, letters: int) -> np.ndarray:
+    """Which texts, in order, come to no more than so many letters, a third of them toxic. One that doesn't fit is passed over; the shortest of each class stays."""
+    keep = np.zeros(len(sizes), bool)
+    for x, room in ((1, letters // 3), (0, letters - letters // 3)):
+        own = np.nonzero(toxic == x)[0]
+        for i in own:
+            if sizes[i] <= room:
+                keep[i], room = True, room - sizes[i]
+        if len(own):
+            keep[min(own, key=lambda i: sizes[i])] = True
+    return np.nonzero(keep)[0]
 
 
 def fit(texts: list[str | None], toxic: np.ndarray, prior: float | None, steps: int = 30) -> Field:
+    """The field of labelled texts, which come in the order of preference."""
     model = Field(prior=prior)
     if prior is None or toxic.min(initial=1) == toxic.max(initial=0):
         return model
@@ -198,7 +210,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, prior: float | None, steps:
     if not model.cues:
         return model
     model.weights = np.zeros(len(model.cues))
-    keep = np.sort(np.concatenate([within(texts, np.nonzero(toxic == x)[0], share) for x, share in ((1, FIELD_LETTERS // 3), (0, FIELD_LETTERS * 2 // 3))]))
+    keep = within([len(t or "") for t in texts], toxic, FIELD_LETTERS)
     texts, toxic = [texts[i] for i in keep], toxic[keep]
     tagger = Tagger(model)
     patterns, lengths = tagger.encode(texts)
@@ -259,17 +271,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field:
-    """The sample's ids come from the labels alone; at most (1 + OTHERS) `per_class` of them are broadcast and as many texts collected."""
+def _fitted(prior: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("order", "doc_id", "text", "toxic")), strict=True)), key=lambda r: r[:2])
+        model = fit([r[2] for r in rows], np.array([r[3] for r in rows], np.int64), prior)
+        yield pa.record_batch({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, letters: int = SAMPLE_LETTERS) -> Field:
+    """The sample's ids come from the labels alone; at most (1 + OTHERS) `per_class` of them are broadcast, and their texts written once."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not shares:
         return Field()
     pick = lambda x: known.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class if x else OTHERS * per_class)
-    sample = docs.select("doc_id", "text").join(F.broadcast(pick(0).union(pick(1))), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = {r["doc_id"]: r for r in sorted(sample, key=lambda r: (r["doc_id"], r["text"] or ""))}
-    rows = [rows[k] for k in sorted(rows)]
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64), shares.get(1, 0) / sum(shares.values()))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    sample = texts.join(F.broadcast(pick(0).union(pick(1))), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    sample = cut(small_batches(sample).withColumn("order", F.xxhash64("doc_id")))
+    sizes = sample.select("order", "doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy("order", "doc_id").collect()
+    keep = within([r["n"] for r in sizes], np.array([r["toxic"] for r in sizes], np.int64), letters)
+    if len(keep) < len(sizes):
+        sample = sample.where(F.col("doc_id").isin([sizes[i]["doc_id"] for i in keep]))
+    prior = shares.get(1, 0) / sum(shares.values())
+    return pickle.loads(sample.repartition(1).mapInArrow(_fitted(prior), "model binary").first()["model"])
 
 
 def score(docs: DataFrame, model: Field) -> DataFrame:
