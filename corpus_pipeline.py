@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import new_folder, table
-from gristmill.llm.jaccard_join import jaccard_components
+from gristmill.llm.common import cut, new_folder, small_batches, table
+from gristmill.llm.jaccard_join import class_column, jaccard_classes
 from gristmill.llm.mixing import mix
 from gristmill.llm.secrets import find_secrets, redact
 from gristmill.llm.toxicity import learn, score
 from gristmill.llm.winnowing import decontaminate
 
 #: A list of ids up to this many bytes is broadcast; a longer one is joined by id.
-IDS_BYTES = 16 << 20
+IDS_BYTES = 4 << 20
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -30,16 +30,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by n-gram Jaccard similarity, the one with the least doc_id stays; rows without a doc_id stay."""
-    found = jaccard_components(docs)
+    """Of documents linked by n-gram Jaccard similarity, one with the least doc_id stays; rows without a doc_id or without words stay.
+
+    Ids that several rows have don't name a row: such rows are told apart by the class of their text, and one row of a component stays.
+    """
+    found = cut(jaccard_classes(docs).where("doc_id IS NOT NULL AND n_shingles > 0"))
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    n = gone.count()
-    out = docs.join(F.broadcast(gone) if 8 * n <= IDS_BYTES else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = found.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    if again.limit(1).count():  # rows that repeat an id: one of equal texts stays
-        plain = out.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-        out = plain.unionByName(out.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
-    return out
+    gone = F.broadcast(gone) if 8 * gone.count() <= IDS_BYTES else gone
+    rows, id_ = small_batches(_whole(docs)), F.col("doc_id").cast("long")
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    if not again.limit(1).count():
+        return rows.join(gone, id_ == F.col("_gone"), "left_anti").select("_row.*")
+    again = cut(again)
+    plain = rows.join(again, id_ == F.col("_again"), "left_anti").join(gone, id_ == F.col("_gone"), "left_anti")
+    rows = rows.join(again, id_ == F.col("_again"), "left_semi").withColumn("_class", class_column(F.col("text")))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("class").alias("_found"), F.col("root").alias("_root")).distinct()
+    one = rows.join(kept, (id_ == F.col("_id")) & (F.col("_class") == F.col("_found"))).dropDuplicates(["_root"])
+    return plain.select("_row").union(rows.where("_class = 0").select("_row")).union(one.select("_row")).select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
