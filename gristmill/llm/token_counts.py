@@ -11,6 +11,7 @@ library does by default, and cuts the text. Repeated rows and any other columns
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections import Counter
@@ -94,8 +95,9 @@ class Merger:
 
 def read_vocabulary(path: str) -> dict:
     """What a worker needs: merges, vocabulary, special strings and the proved whole strings (as plain texts where they are UTF-8)."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    with open(path, "rb") as f:
+        content = f.read()
+    spec = json.loads(content)
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
     merger = Merger({m: r for r, m in enumerate(merges)}, set(spec["model"]["vocab"]))
     back = {c: b for b, c in enumerate(byte_letters())}
@@ -105,7 +107,7 @@ def read_vocabulary(path: str) -> dict:
             whole.add(bytes(back[c] for c in w).decode("utf-8"))
         except (KeyError, UnicodeDecodeError):
             continue
-    return {"merges": merges, "whole": frozenset(whole), "special": [t["content"] for t in spec.get("added_tokens", [])]}
+    return {"name": hashlib.sha256(content).hexdigest(), "merges": merges, "whole": frozenset(whole), "special": [t["content"] for t in spec.get("added_tokens", [])]}
 
 
 class Counting:
@@ -141,7 +143,8 @@ class Counting:
         return n
 
 
-_here: dict[int, Counting] = {}
+#: By the hash of its file, the vocabulary that a reused worker has ready.
+_here: dict[str, Counting] = {}
 
 
 def count_tokens(df: DataFrame, vocabulary_path: str, limit: int = 1024) -> DataFrame:
@@ -149,8 +152,8 @@ def count_tokens(df: DataFrame, vocabulary_path: str, limit: int = 1024) -> Data
 
     The vocabulary is read on the driver and broadcast; its size is that of the file, whatever the data.
     """
-    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
-    key = id(shared)
+    vocabulary = read_vocabulary(vocabulary_path)
+    key, shared = vocabulary["name"], df.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
