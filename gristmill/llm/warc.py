@@ -4,11 +4,12 @@ Writing. A page's payload digest decides its record: the least page_id of equal
 it. A record's head and payload are one string and the record's closing CRLF CRLF is the text writer's line separator, so Spark's
 own committed writer produces plain .warc content on any file system; each task's file is an archive.
 
-Index. A pass walks the archives record by record and gives a capture line for each: reversed-host key, url, digest, offset, length,
-file. The lines are sorted by key over all tasks and packed into compressed blocks of LINES; a sparse directory keeps each block's
-first key. `lookup` binary-searches the directory, opens the block that can hold the key, searches its lines and then reads only
-the record's range of its archive. `read_back` reads all captures: it unpacks the blocks, opens each archive once and takes the
-records that stand where the index says.
+Index. A pass reads the heads of each archive's records, skipping their blocks, and gives a capture line for each: reversed-host key,
+url, digest, offset, length, file. The lines are sorted by key over all tasks and packed into compressed blocks of LINES; a sparse
+directory keeps each block's first and last key, in sorted pages of LINES, too. `lookup` binary-searches the pages' keys, then the page,
+then the block, and reads only the record's range of its archive. `read_back` goes the same way for all captures: directory, blocks, then
+ranges, dealt by archive and SEGMENT and read in order. An executor opens archives itself where pyarrow knows the store; where only
+Spark's readers do, they hand it the archive, which is why archives are kept small.
 
 Defined cases: a null html is an empty payload; a null url is an empty one; control letters and blanks in a url are written as %20; a
 null page_id is the least of nothing: it revisits a page with an id, if one has its payload; repeated rows are records of their own,
@@ -20,9 +21,11 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from typing import BinaryIO
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +36,12 @@ from gristmill.llm.common import cut, new_folder
 LINES = 2000
 #: Pages in one archive at most.
 ARCHIVE_PAGES = 20_000
+#: Bytes of an archive whose ranges are read by one task after another.
+SEGMENT = 64 << 20
 #: A list of revisits up to this size is broadcast; a longer one is joined by page_id.
 REVISIT_BYTES = 8 << 20
+#: Payloads that more pages share are few; their list is broadcast, so that no task gets all pages of one.
+SHARED_BY = 100_000
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -52,8 +59,11 @@ def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     """page_id, hex, first: the pages that revisit another one."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     keyed = cut(pages.select("page_id", F.sha1(payload).alias("hex"), F.octet_length(payload).alias("n")).where(F.col("n") >= least_bytes))
-    firsts = keyed.groupBy("hex").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    return cut(keyed.drop("n").join(firsts, "hex").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct())
+    firsts = cut(keyed.groupBy("hex").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL"))
+    hot, others = F.broadcast(firsts.where(F.col("n") > SHARED_BY).drop("n")), firsts.where(F.col("n") <= SHARED_BY).drop("n")
+    keyed = keyed.drop("n")
+    joined = keyed.join(hot, "hex").union(keyed.join(hot, "hex", "left_anti").join(others, "hex"))
+    return cut(joined.where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct())
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
@@ -90,91 +100,183 @@ def key_of(url: str) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + path.lower()
 
 
-def walk(content: bytes) -> Iterator[tuple[int, int, dict[str, str], int]]:
-    """offset, length, head fields and the block's offset of each record of an archive."""
-    at, view = 0, memoryview(content)
-    while at < len(view):
-        end = content.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in content[at:end].decode("utf-8").split(CRLF)[1:])
-        length = end + 4 - at + int(fields["Content-Length"]) + 4
-        yield at, length, fields, end + 4
+def read_head(stream: BinaryIO) -> tuple[dict[str, str], int] | None:
+    """The head fields of the record where the stream stands, and the head's length; None at the end."""
+    lines, n = [], 0
+    while True:
+        line = stream.readline()
+        if not line:
+            return None
+        n += len(line)
+        if line == b"\r\n":
+            break
+        lines.append(line[:-2].decode("utf-8"))
+    return dict(x.split(": ", 1) for x in lines[1:]), n
+
+
+def walk(stream: BinaryIO) -> Iterator[tuple[int, int, dict[str, str]]]:
+    """offset, length and head fields of each record of an archive; blocks are skipped."""
+    at = 0
+    while (head := read_head(stream)) is not None:
+        fields, n = head
+        length = n + int(fields["Content-Length"]) + 4
+        yield at, length, fields
         at += length
+        stream.seek(at)
 
 
-def parse(content: bytes, at: int, fields: dict[str, str], block: int) -> dict:
+def opened(path: str, content: bytes | None) -> BinaryIO:
+    """An archive as a stream that can seek: its content if that was handed over, else from its store."""
+    if content is not None:
+        return io.BytesIO(content)
+    parts = urlsplit(path)
+    if parts.scheme in ("", "file"):
+        return open(unquote(parts.path), "rb")
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return io.BufferedReader(store.open_input_file(name))
+
+
+def _known_store(folder: str) -> bool:
+    """Whether executors can open files of a folder's store without Spark."""
+    if urlsplit(folder).scheme in ("", "file"):
+        return True
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(folder)
+    except (pa.ArrowException, OSError, ImportError):
+        return False
+    return True
+
+
+def parse(record: bytes) -> tuple:
     """The digest row of one record. A response's payload is digested anew and has to agree with its head."""
+    fields, n = read_head(io.BytesIO(record))
     own = lambda name: None if (x := fields[name][len("<urn:page:") : -1]) == "null" else int(x)
     size, told = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"][len("sha1:") :]
     if fields["WARC-Type"] == "response":
-        start = content.index(b"\r\n\r\n", block) + 4
-        payload = content[start : block + int(fields["Content-Length"])]
+        payload = memoryview(record)[record.index(b"\r\n\r\n", n) + 4 : n + int(fields["Content-Length"])]
         size, found = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
         if found != told:
-            raise ValueError(f"digest of {fields['WARC-Record-ID']} at {at}")
-    return {"page_id": own("WARC-Record-ID"), "payload_bytes": size, "payload_digest": told, "record_type": fields["WARC-Type"], "refers_to": own("WARC-Refers-To") if "WARC-Refers-To" in fields else None}
+            raise ValueError(f"digest of {fields['WARC-Record-ID']}")
+    return own("WARC-Record-ID"), size, told, fields["WARC-Type"], own("WARC-Refers-To") if "WARC-Refers-To" in fields else None
 
 
 def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            content = content.as_py()
-            rows = [(key_of(f["WARC-Target-URI"]), f["WARC-Target-URI"], f["WARC-Payload-Digest"][5:], at, n, path) for at, n, f, _ in walk(content)]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            with opened(path, content.as_py()) as stream:
+                rows = [(key_of(f["WARC-Target-URI"]), f["WARC-Target-URI"], f["WARC-Payload-Digest"][5:], at, n, path) for at, n, f in walk(stream)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["key", "url", "digest", "offset", "length", "file"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[str, str]] = []
+def packed(lines: list[tuple[str, str]]) -> dict[str, list]:
+    """Sorted (key, line) pairs as one compressed block."""
+    return {"first_key": [lines[0][0]], "last_key": [lines[-1][0]], "block": [zlib.compress("\n".join(x for _, x in lines).encode(), 6)]}
 
-    def block(rows: list[tuple[str, str]]) -> pa.RecordBatch:
-        return pa.record_batch({"first_key": pa.array([rows[0][0]]), "last_key": pa.array([rows[-1][0]]), "lines": pa.array([len(rows)], pa.int64()), "block": pa.array([zlib.compress("\n".join(x for _, x in rows).encode(), 6)])})
 
-    for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "digest", "offset", "length", "file")), strict=True):
-            held.append((r[0], "\t".join(map(str, r))))
-            if len(held) == LINES:
-                yield block(held)
-                held = []
-    if held:
-        yield block(held)
+def unpacked(block: bytes) -> list[list[str]]:
+    return [x.split("\t") for x in zlib.decompress(block).decode().split("\n")]
+
+
+def _pack(columns: tuple[str, ...]):
+    """Rows in order, the first column their key, into blocks of LINES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, str]] = []
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                held.append((r[0], "\t".join(map(str, r))))
+                if len(held) == LINES:
+                    yield pa.record_batch(packed(held))
+                    held = []
+        if held:
+            yield pa.record_batch(packed(held))
+
+    return run
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole archives: path and content. A task reads as many as spark.sql.files.maxPartitionBytes allows."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+    """path and content of each archive; the content is null, and not read, where executors open the store themselves."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    return files.select("path", F.lit(None).cast("binary").alias("content") if _known_store(folder) else F.col("content"))
+
+
+_BLOCK = "first_key string, last_key string, block binary"
 
 
 def write_index(spark: SparkSession, folder: str, index: str) -> None:
-    """Blocks (sorted over all files) and their sparse directory, from the archives in `folder`."""
+    """Blocks (sorted over all files) and the pages of their sparse directory, from the archives in `folder`."""
     lines = cut(archives(spark, folder).mapInArrow(_captures, "key string, url string, digest string, offset long, length long, file string"))
     # offset and file part equal keys, so that a hot url doesn't fill one range
     ordered = lines.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    blocks = ordered.mapInArrow(_blocks, "first_key string, last_key string, lines long, block binary")
+    blocks = ordered.mapInArrow(_pack(("key", "url", "digest", "offset", "length", "file")), _BLOCK)
     blocks.withColumn("block_id", F.monotonically_increasing_id()).write.parquet(f"{index}/blocks")
-    spark.read.parquet(f"{index}/blocks").select("first_key", "last_key", "block_id", "lines").orderBy("first_key", "block_id").write.parquet(f"{index}/directory")
+    entries = spark.read.parquet(f"{index}/blocks").select("first_key", "last_key", "block_id")
+    entries = entries.repartitionByRange("first_key", "block_id").sortWithinPartitions("first_key", "block_id")
+    pages = entries.mapInArrow(_pack(("first_key", "last_key", "block_id")), _BLOCK)
+    pages.withColumn("page", F.monotonically_increasing_id()).write.parquet(f"{index}/directory")
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in batch.column("block").to_pylist():
-            rows = [x.split("\t") for x in zlib.decompress(block).decode().split("\n")]
-            yield pa.record_batch({"file": [r[5] for r in rows], "offset": pa.array([int(r[3]) for r in rows], pa.int64()), "length": pa.array([int(r[4]) for r in rows], pa.int64())})
+        for page in batch.column("block").to_pylist():
+            yield pa.record_batch({"block_id": pa.array([int(r[2]) for r in unpacked(page)], pa.int64())})
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            content = content.as_py()
-            rows = [{"file": path, "offset": at, "length": n} | parse(content, at, f, b) for at, n, f, b in walk(content)]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema({"file": pa.string(), "offset": pa.int64(), "length": pa.int64()} | kinds))
+        for block in batch.column("block").to_pylist():
+            rows = unpacked(block)
+            yield pa.record_batch({"path": [r[5] for r in rows], "offset": pa.array([int(r[3]) for r in rows], pa.int64()), "length": pa.array([int(r[4]) for r in rows], pa.int64())})
+
+
+_RECORD = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+_RECORD_SQL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _rows(records: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in records], f.type) for i, f in enumerate(_RECORD)], schema=_RECORD)
+
+
+def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records at places that come by archive and offset. One record is held at a time."""
+    stream, now = None, None
+    try:
+        for batch in batches:
+            found = []
+            for path, at, n in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length")), strict=True):
+                if path != now:
+                    if stream is not None:
+                        stream.close()
+                    stream, now = opened(path, None), path
+                stream.seek(at)
+                found.append(parse(stream.read(n)))
+            yield _rows(found)
+    finally:
+        if stream is not None:
+            stream.close()
+
+
+def _cut_ranges(places: pa.Table, files: pa.Table) -> pa.Table:
+    """The same from the content of one archive."""
+    content = files.column("content")[0].as_py() if files.num_rows else b""
+    found = [parse(content[at : at + n]) for at, n in zip(places.column("offset").to_pylist(), places.column("length").to_pylist(), strict=True)]
+    return pa.Table.from_batches([_rows(found)])
 
 
 def read_back(spark: SparkSession, folder: str, index: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every capture of the index."""
-    named = spark.read.parquet(f"{index}/blocks").select("block").mapInArrow(_unpacked, "file string, offset long, length long")
-    records = archives(spark, folder).mapInArrow(_records, "file string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return records.join(named, ["file", "offset", "length"]).drop("file", "offset", "length")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every capture that the directory leads to."""
+    named = spark.read.parquet(f"{index}/directory").select("block").mapInArrow(_entries, "block_id long")
+    blocks = spark.read.parquet(f"{index}/blocks").select("block_id", "block").join(named, "block_id")
+    places = blocks.select("block").mapInArrow(_places, "path string, offset long, length long")
+    if _known_store(folder):
+        places = places.repartition("path", F.floor(F.col("offset") / SEGMENT)).sortWithinPartitions("path", "offset")
+        return places.mapInArrow(_read_ranges, _RECORD_SQL)
+    return places.groupBy("path").cogroup(archives(spark, folder).groupBy("path")).applyInArrow(_cut_ranges, _RECORD_SQL)
 
 
 def _range(spark: SparkSession, path: str, offset: int, length: int) -> bytes:
@@ -189,20 +291,30 @@ def _range(spark: SparkSession, path: str, offset: int, length: int) -> bytes:
         stream.close()
 
 
+def _within(key: str, firsts: list[str], lasts: list[str]) -> range:
+    """Which of sorted spans can hold a key, by two binary searches."""
+    return range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))
+
+
 def lookup(spark: SparkSession, index: str, url: str) -> list[tuple[dict[str, str], bytes]]:
-    """Head fields and content block of each capture of one url. Reads the directory's part, the blocks that can hold it, and the ranges."""
+    """Head fields and content block of each capture of one url. Reads the directory's top, the pages, blocks and ranges that can hold it.
+
+    The top has one row for LINES * LINES captures; it is all that a search has in memory beside one page or block.
+    """
     key = key_of(url)
-    places = spark.read.parquet(f"{index}/directory").where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key", "block_id")
+    pages, blocks = spark.read.parquet(f"{index}/directory"), spark.read.parquet(f"{index}/blocks")
+    top = pages.select("first_key", "last_key", "page").orderBy("first_key", "page").collect()
     found = []
-    for place in places.toLocalIterator():
-        block = spark.read.parquet(f"{index}/blocks").where(F.col("block_id") == place["block_id"]).first()["block"]
-        rows = [x.split("\t") for x in zlib.decompress(block).decode().split("\n")]
-        keys = [r[0] for r in rows]
-        for r in rows[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-            if r[1] == url:
-                content = _range(spark, r[5], int(r[3]), int(r[4]))
-                _, _, fields, at = next(walk(content))
-                found.append((fields, content[at:-4]))
+    for i in _within(key, [r["first_key"] for r in top], [r["last_key"] for r in top]):
+        entries = unpacked(pages.where(F.col("page") == top[i]["page"]).first()["block"])
+        for j in _within(key, [e[0] for e in entries], [e[1] for e in entries]):
+            rows = unpacked(blocks.where(F.col("block_id") == int(entries[j][2])).first()["block"])
+            keys = [r[0] for r in rows]
+            for r in rows[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
+                if r[1] == url:
+                    content = _range(spark, r[5], int(r[3]), int(r[4]))
+                    fields, n = read_head(io.BytesIO(content))
+                    found.append((fields, content[n:-4]))
     return found
 
 
