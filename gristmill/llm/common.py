@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,35 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Bits of a filter on hashes, whatever the data.
+FILTER_BITS = 1 << 26
+
+
+def slot_of(*columns: str) -> Column:
+    """Where columns fall in a filter."""
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)).cast("int")
+
+
+def _packed_bits(pdf: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(1 << 16, np.uint8)
+    bits[pdf["low"].to_numpy()] = 1
+    return pd.DataFrame({"high": [int(pdf["high"].iloc[0])], "bits": [np.packbits(bits).tobytes()]})
+
+
+def bit_filter(slots: DataFrame, column: str = "slot"):
+    """A broadcast bitmap of the slots. It is FILTER_BITS large whatever the data; what it lets pass wrongly has to be joined away."""
+    spark, slot = slots.sparkSession, F.col(column)
+    rows = slots.select(F.shiftright(slot, 16).cast("int").alias("high"), slot.bitwiseAND(65535).cast("int").alias("low")).distinct().groupBy("high").applyInPandas(_packed_bits, "high int, bits binary").collect()
+    whole = np.zeros(FILTER_BITS >> 3, np.uint8)
+    for r in rows:
+        whole[r["high"] << 13 : (r["high"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    return spark.sparkContext.broadcast(whole)
+
+
+def has_bit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

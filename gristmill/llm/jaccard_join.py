@@ -30,15 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, free_shuffles, partitions, small_batches
+from gristmill.llm.common import bit_filter, cut, free_shuffles, has_bit, partitions, slot_of, small_batches
 from gristmill.llm.components import components
 from gristmill.llm.winnowing import Hashes, grams
 
 WORDS, PERCENT = 5, 80
 #: Bound on the heavy shingles, which are broadcast; on those that one batch reports; tokens of a batch; of a block; least count.
 HEAVY, HEAVY_BATCH, BATCH_TOKENS, BLOCK_TOKENS, HEAVY_COUNT = 1 << 17, 40_000, 6_000_000, 300_000, 2
-#: Bits of the filter on documents whose sets are built.
-FILTER_BITS = 1 << 26
 _MEMO = 300_000
 
 
@@ -188,29 +186,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_out = whole.slice(len(t) - 1, 1), last_out_now
 
 
-def _bitmap(pdf: pd.DataFrame) -> pd.DataFrame:
-    bits = np.zeros(1 << 16, np.uint8)
-    bits[pdf["low"].to_numpy()] = 1
-    return pd.DataFrame({"high": [int(pdf["high"].iloc[0])], "bits": [np.packbits(bits).tobytes()]})
-
-
-def _filtered(spark, ids: DataFrame):
-    """A broadcast bitmap of hashed ids. It is FILTER_BITS large whatever the data; what it lets pass wrongly is joined away later."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    rows = ids.select(F.shiftright(slot, 16).cast("int").alias("high"), slot.bitwiseAND(65535).cast("int").alias("low")).distinct().groupBy("high").applyInPandas(_bitmap, "high int, bits binary").collect()
-    whole = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for r in rows:
-        whole[r["high"] << 13 : (r["high"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
-    return spark.sparkContext.broadcast(whole)
-
-
 def _sets(shared, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, shingles = shared.value, Shingles(words)
         for batch in batches:
             slot = batch.column("slot").to_numpy()
-            keep = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-            batch = batch.filter(pa.array(keep))
+            batch = batch.filter(pa.array(has_bit(bits, slot)))
             sets = [shingles.of(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"class": np.array([class_of(s) for s in sets], np.int64), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
 
@@ -322,8 +303,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     firsts = sized.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     name = F.coalesce("doc_id", F.lit(-1))
-    bitmap = _filtered(spark, firsts.join(asked, "class", "left_semi").select(name.alias("doc_id")))
-    sets = texts.withColumn("slot", F.pmod(F.xxhash64(name), F.lit(FILTER_BITS)).cast("int")).mapInArrow(_sets(bitmap, words), "class long, tokens binary")
+    bitmap = bit_filter(firsts.join(asked, "class", "left_semi").select(name.alias("doc_id")).select(slot_of("doc_id").alias("slot")))
+    sets = texts.withColumn("doc_id", name).withColumn("slot", slot_of("doc_id")).mapInArrow(_sets(bitmap, words), "class long, tokens binary")
     edges = _placed(opened).join(sets, "class").groupBy("to_group", "qb", "mb").applyInArrow(_open(percent), "a long, b long")
     roots = components(edges)
 

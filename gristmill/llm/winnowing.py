@@ -2,11 +2,13 @@
 
 Words are hashed; a text's k-gram hashes are cut into windows of w and the least hash of each window is its fingerprint.
 With k + w - 1 = the window length, two texts that share a whole window share its fingerprint. Fingerprints of test
-items and of documents are joined on the hash, each hit is extended word by word in both directions, and runs of at least
-one window are kept. An item with fewer words than a window is one window; it is looked up by its own length.
+items and of documents are joined on the hash; each hit is extended to the windows around it that hold the fingerprint, which are
+compared as wholes, by 128 bits of their words' hashes. So runs of shared words of any length come out window by window, in time
+linear in the text, however it repeats itself. An item with fewer words than a window is one window; it is looked up by its own length.
 
-The test side is broadcast only after its bytes have been summed and found below TEST_BYTES; above that, items are worked off
-in blocks of that size, each a pass over the documents, and the hit ranges of the blocks are joined by document.
+Where the items' windows come to TEST_BYTES at most (counted first) they are broadcast as arrays and the join is a search in them. Beyond,
+a filter of fixed size picks the document windows whose fingerprint may be an item's, and these are joined with the items' windows by a
+shuffle, in one pass over the documents whatever the size of the items. Windows that very many documents hold are salted.
 
 Defined cases: a null or wordless document has 0 words and no hits; a null or wordless item hits nothing; a null
 item_id is not listed; items with the same id count once; repeated documents are rated each.
@@ -16,22 +18,26 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import cut, small_batches
+from gristmill.llm.common import FILTER_BITS, bit_filter, cut, has_bit, small_batches
 
 WINDOW, KGRAM = 10, 6
-TEST_BYTES = 16 << 20
+#: Bytes of the windows that are broadcast, and of one of them.
+TEST_BYTES, ROW_BYTES = 16 << 20, 40
+#: Windows that more documents hold are dealt over so many salts.
+HELD_BY, SALTS = 100_000, 32
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
+#: The same for the JVM, on a text with A to Z lowered.
+WORD, _UPPER, _LOWER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class Hashes(dict):
@@ -53,15 +59,20 @@ def hashed(words: list[bytes], memo: Hashes) -> np.ndarray:
     return np.fromiter((memo[w] for w in words), dtype=np.uint64, count=len(words))
 
 
-def grams(h: np.ndarray, k: int) -> np.ndarray:
+def _multipliers(k: int, seed: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(bytes([seed, i % 256, i // 256])) | 1 for i in range(k)], np.uint64)
+
+
+def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """A hash of each k words in a row."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    odd = _multipliers(k, seed)
     with np.errstate(over="ignore"):
-        g = h[:n] * _ODD[0]
+        g = h[:n] * odd[0]
         for i in range(1, k):
-            g = g + h[i : i + n] * _ODD[i]
+            g = g + h[i : i + n] * odd[i]
         g ^= g >> np.uint64(29)
         g *= np.uint64(0xBF58476D1CE4E5B9)
         g ^= g >> np.uint64(32)
@@ -79,81 +90,111 @@ def winnow(h: np.ndarray, window: int = WINDOW, k: int = KGRAM) -> tuple[np.ndar
     return at, g[at]
 
 
-class Tests:
-    """The test items' fingerprints."""
-
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW, k: int = KGRAM):
-        self.window, self.k, memo = window, k, Hashes()
-        self.ids, self.words = [], []
-        posts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for name, text in items:
-            words = words_of(text)
-            if not words:
-                continue
-            at = len(self.ids)
-            self.ids.append(name)
-            self.words.append(words)
-            h = hashed(words, memo)
-            if len(words) < window:
-                self.short[len(words)][int(grams(h, len(words))[0])].append(at)
-                continue
-            g = grams(h, k)
-            w = window - k + 1
-            view = np.lib.stride_tricks.sliding_window_view(g, w)
-            for p in np.unique(np.nonzero(view == view.min(axis=1)[:, None])[1] + np.nonzero(view == view.min(axis=1)[:, None])[0]):
-                posts[int(g[p])].append((at, int(p)))  # all places of a least hash, so that ties can't part equal windows
-        self.posts = dict(posts)
-        self.keys = np.array(sorted(posts), dtype=np.uint64)
-        self.short_keys = {n: np.array(sorted(x), dtype=np.uint64) for n, x in self.short.items()}
-
-    @staticmethod
-    def _known(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        if not len(keys) or not len(hashes):
-            return np.empty(0, np.int64)
-        i = np.searchsorted(keys, hashes)
-        i[i == len(keys)] = 0
-        return np.nonzero(keys[i] == hashes)[0]
-
-    def hits(self, words: list[bytes], memo: Hashes) -> list[tuple[int, int, int]]:
-        """(item, first word, end) of each run of document words that is at least one window of the item."""
-        h, out = hashed(words, memo), set()
-        at, fingerprints = winnow(h, self.window, self.k)
-        n, done = len(words), defaultdict(int)
-        for i in self._known(self.keys, fingerprints):
-            p = int(at[i])
-            for item, q in self.posts[int(fingerprints[i])]:
-                if done[item, p - q] > p:
-                    continue
-                own = self.words[item]
-                a, b, m = p, p, len(own)
-                while b < n and b - p + q < m and words[b] == own[b - p + q]:
-                    b += 1
-                if b == p:
+def around(h: np.ndarray, at: np.ndarray, fingerprints: np.ndarray, known: np.ndarray, window: int = WINDOW, k: int = KGRAM) -> np.ndarray:
+    """First words of the windows that known fingerprints extend to: those that hold one and have no lesser k-gram."""
+    w = window - k + 1
+    j = np.unique((at[known][:, None] - np.arange(w)).ravel())
+    j = j[(j >= 0) & (j <= len(h) - window)]
+    if not len(j):
+        return j
+    g = grams(h, k)
+    least = g[j]
+    for i in range(1, w):
+        least = np.minimum(least, g[j + i])
+    return j[np.isin(least, fingerprints[known])]
+
+
+def whole_hashes(h: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each window of `size` words that begins at one of the places (sorted, each once)."""
+    if len(at) > len(h) // (2 * size):  # dense: all windows cost less than a copy of those asked for
+        return grams(h, size, 1)[at], grams(h, size, 2)[at]
+    own = h[at[:, None] + np.arange(size)].reshape(-1)
+    return tuple(grams(own, size, seed)[::size] if len(own) else own for seed in (1, 2))
+
+
+def _known(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes are among sorted keys."""
+    if not len(keys) or not len(hashes):
+        return np.zeros(len(hashes), bool)
+    i = np.searchsorted(keys, hashes)
+    i[i == len(keys)] = 0
+    return keys[i] == hashes
+
+
+def _windows(window: int, k: int):
+    """The distinct windows of items: size, 128 bits, fingerprint, item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Hashes()
+        for batch in batches:
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                h = hashed(words_of(text), memo)
+                if not len(h):
                     continue
-                while a > 0 and a - p + q > 0 and words[a - 1] == own[a - 1 - p + q]:
-                    a -= 1
-                done[item, p - q] = b
-                if b - a >= self.window:
-                    out.add((item, a, b))
-        for size, keys in self.short_keys.items():
-            g = grams(h, size)
-            for p in self._known(keys, g):
-                for item in self.short[size][int(g[p])]:
-                    if words[p : p + size] == self.words[item]:
-                        out.add((item, int(p), int(p) + size))
-        return sorted(out)
-
-
-def _rated(words: list[bytes], found: list[tuple[object, int, int]]) -> tuple[int, list[tuple[int, int]]]:
-    """Words hit by any range, and the merged ranges."""
-    merged: list[list[int]] = []
-    for a, b in sorted((a, b) for _, a, b in found):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    return sum(b - a for a, b in merged), [tuple(x) for x in merged]
+                size = min(window, len(h))
+                a, b = whole_hashes(h, np.arange(len(h) - size + 1), size)
+                f = np.lib.stride_tricks.sliding_window_view(grams(h, k), window - k + 1).min(axis=1) if size == window else a
+                rows = np.unique(np.stack([a, b, f], axis=1), axis=0).view(np.int64)
+                n = len(rows)
+                yield pa.record_batch({"size": np.full(n, size, np.int32), "a": rows[:, 0].copy(), "b": rows[:, 1].copy(), "f": rows[:, 2].copy(), "item": pa.array([item] * n, pa.string())})
+
+    return run
+
+
+class Tests:
+    """The items' distinct windows as sorted arrays, each with its items."""
+
+    def __init__(self, table: pa.Table, window: int = WINDOW, k: int = KGRAM):
+        self.window, self.k = window, k
+        size, (a, b, f) = table.column("size").to_numpy(), (table.column(c).to_numpy().view(np.uint64) for c in ("a", "b", "f"))
+        self.ids, item = np.unique(np.array(["" if x is None else f"={x}" for x in table.column("item").to_pylist()], object), return_inverse=True)
+        order = np.lexsort((item, b, a, size))
+        size, a, b, item = size[order], a[order], b[order], item[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (size[1:] != size[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        self.a, self.b, self.item, self.begin = a[new], b[new], item, np.append(np.flatnonzero(new), len(a))
+        self.prints, size = np.unique(f[table.column("size").to_numpy() == window]), size[new]
+        self.parts = {int(s): (int(np.searchsorted(size, s)), int(np.searchsorted(size, s, side="right"))) for s in np.unique(size)}
+
+    def match(self, size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which window each is, or -1."""
+        low, high = self.parts[size]
+        at, out = low + np.searchsorted(self.a[low:high], a), np.full(len(a), -1)
+        while len(left := np.flatnonzero((out < 0) & (at < high))) and (same := self.a[at[left]] == a[left]).any():
+            left = left[same]
+            hit = left[self.b[at[left]] == b[left]]
+            out[hit] = at[hit]
+            at[left] += 1  # windows of one `a` lie together, by `b`
+        return out
+
+    def hits(self, h: np.ndarray) -> tuple[int, list[tuple[int, int]], list[str]]:
+        """Of a document's word hashes: how many are hit, their ranges, and the items."""
+        change, found = np.zeros(len(h) + 1, np.int64), [np.empty(0, np.int64)]
+        for size, j in candidates(h, self.prints, self.parts, self.window, self.k):
+            which = self.match(size, *whole_hashes(h, j, size))
+            np.add.at(change, j[which >= 0], 1)
+            np.add.at(change, j[which >= 0] + size, -1)
+            found += [self.item[self.begin[i] : self.begin[i + 1]] for i in np.unique(which[which >= 0])]
+        n, ranges = marked(np.cumsum(change[:-1]) > 0)
+        return n, ranges, sorted(x[1:] for x in self.ids[np.unique(np.concatenate(found))] if x)
+
+
+def candidates(h: np.ndarray, prints: np.ndarray, sizes: Iterable[int], window: int, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """By size, the first words of the windows that may be an item's."""
+    for size in sizes:
+        if size == window:
+            at, fingerprints = winnow(h, window, k)
+            known = _known(prints, fingerprints)
+            if known.any():
+                yield size, around(h, at, fingerprints, known, window, k)
+        elif len(h) >= size:
+            yield size, np.arange(len(h) - size + 1)
+
+
+def marked(hit: np.ndarray) -> tuple[int, list[tuple[int, int]]]:
+    """How many are true, and the ranges of them."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return int(hit.sum()), list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
 def digest(ids: set[str]) -> str:
@@ -164,54 +205,88 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.Struc
 _RATED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit_ranges", _SPANS)])
 
 
-def _pass(df: DataFrame, items: list[tuple[object, str | None]], window: int, k: int, column: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(items)
+def _by_arrays(docs: DataFrame, windows: DataFrame, window: int, k: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(Tests(windows.toArrow(), window, k))
 
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tests, memo = Tests(shared.value, window, k), Hashes()
+        tests, memo = shared.value, Hashes()
         for texts in batches:
             rows = []
             for text in texts:
-                words = words_of(text)
-                found = tests.hits(words, memo) if words else []
-                n, ranges = _rated(words, found)
-                rows.append((len(words), n, sorted({str(tests.ids[i]) for i, _, _ in found if tests.ids[i] is not None}), ranges))
+                h = hashed(words_of(text), memo)
+                n, ranges, items = tests.hits(h) if len(h) else (0, [], [])
+                rows.append((len(h), n, items, ranges))
             yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "hit_ranges"])
 
-    return df.withColumn(column, F.pandas_udf(rate, _RATED)(F.col("text")))
-
-
-def _together(first: list, other: list) -> tuple[int, list, list]:
-    ranges = [(0, r["begin"], r["end"]) for part in (first, other) for r in part]
-    return _rated([], ranges)
+    return docs.withColumn("_0", F.pandas_udf(rate, _RATED)(F.col("text").cast("string")))
+
+
+def _places(shared, sizes: list[int], window: int, k: int):
+    """size, 128 bits and first word of the windows of a text that the filter takes for an item's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, memo = shared.value, Hashes()
+        for batch in batches:
+            for t1, t2, text in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text")), strict=True):
+                h = hashed(words_of(text), memo)
+                for size in sizes:
+                    if size == window:
+                        at, fingerprints = winnow(h, window, k)
+                        known = has_bit(bits, _slots(fingerprints))
+                        j = around(h, at, fingerprints, known, window, k)
+                        a, b = whole_hashes(h, j, size)
+                    else:
+                        j = np.arange(max(0, len(h) - size + 1))
+                        a, b = whole_hashes(h, j, size)
+                        known = has_bit(bits, _slots(a))
+                        j, a, b = j[known], a[known], b[known]
+                    if n := len(j):
+                        yield pa.record_batch({"t1": np.full(n, t1, np.int64), "t2": np.full(n, t2, np.int64), "size": np.full(n, size, np.int32), "a": a.view(np.int64), "b": b.view(np.int64), "p": j.astype(np.int64)})
+
+    return run
+
+
+def _slots(f: np.ndarray) -> np.ndarray:
+    return (f % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _by_joins(docs: DataFrame, windows: DataFrame, sizes: list[int], window: int, k: int) -> DataFrame:
+    """The same for items of any size. Equal texts, named by 128 bits, are rated together."""
+    text = F.col("text").cast("string")
+    names = [F.coalesce(F.xxhash64(F.lit(i), text), F.lit(0)).alias(f"_t{i}") for i in (1, 2)]
+    slot = F.pmod(F.col("f"), F.lit(FILTER_BITS)).cast("int")  # FILTER_BITS is a power of two, so signs don't matter
+    shared = bit_filter(windows.select(slot.alias("slot")))
+    texts = docs.select(names[0].alias("t1"), names[1].alias("t2"), text.alias("text")).where("text IS NOT NULL")
+    places = cut(texts.mapInArrow(_places(shared, sizes, window, k), "t1 long, t2 long, size int, a long, b long, p long").distinct())
+    key = ["size", "a", "b"]
+    hot = F.broadcast(places.groupBy(*key).count().where(F.col("count") > HELD_BY).select(*key))
+    salted = windows.select(*key, "item").join(hot, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    more = places.join(hot, key).withColumn("salt", F.pmod(F.xxhash64("t1", "t2"), F.lit(SALTS)).cast("int"))
+    hits = places.join(windows.select(*key, "item").join(hot, key, "left_anti"), key).select("t1", "t2", "size", "p", "item")
+    hits = cut(hits.union(more.join(salted, [*key, "salt"]).select("t1", "t2", "size", "p", "item")))
+    ends = hits.select("t1", "t2", F.col("p").alias("begin"), (F.col("p") + F.col("size")).alias("end")).distinct()
+    items = hits.where("item IS NOT NULL").select("t1", "t2", "item").distinct().groupBy("t1", "t2").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    merged = """aggregate(spans, cast(array() as array<struct<begin: bigint, end: bigint>>), (a, x) -> if(size(a) > 0 and x.begin <= element_at(a, -1).end,
+        concat(slice(a, 1, size(a) - 1), array(named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x))))"""
+    ranges = ends.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans")).select("t1", "t2", F.expr(merged).alias("hit_ranges"))
+    rated = ranges.join(items, ["t1", "t2"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    n_words = F.coalesce(F.regexp_count(F.translate(text, _UPPER, _LOWER), F.lit(WORD)), F.lit(0)).cast("long")
+    n_hit = F.coalesce(F.expr("aggregate(hit_ranges, 0L, (a, x) -> a + x.end - x.begin)"), F.lit(0).cast("long"))
+    none = F.array().cast("array<string>")
+    found = F.struct(F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("hit_ranges", F.array().cast(_SPANS)).alias("hit_ranges"))
+    row = docs.select(F.struct("*").alias("_row"), *names, n_words.alias("_n"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_s"))
+    on = (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")) & (F.col("_s") == F.col("_salt"))
+    return row.join(rated, on, "left").select("_row.*", found.alias("_0"))
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, k: int = KGRAM, test_bytes: int = TEST_BYTES) -> DataFrame:
-    """`docs` with n_words, n_hit, items (sorted ids, as strings), hit_ranges (word offsets) and contaminated.
-
-    tests: item_id, text. Their bytes are summed first; they come to the driver in blocks of at most `test_bytes`.
-    """
-    items = tests.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    """`docs` with n_words, n_hit, items (sorted ids, as strings), hit_ranges (word offsets) and contaminated. tests: item_id, text."""
+    items = small_batches(tests).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    windows = cut(items.mapInArrow(_windows(window, k), "size int, a long, b long, f long, item string").distinct())
+    sizes = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}
     plain = [c for c in docs.columns if c not in {"n_words", "n_hit", "items", "hit_ranges", "contaminated"}]
-    docs = small_batches(docs).select(*plain)
-    if total <= test_bytes:
-        out = _pass(docs, [tuple(r) for r in items.collect()], window, k, "_0")
-    else:  # passes over blocks of items; each pass's small columns are written before the next
-        n_blocks = 2 * -(-total // test_bytes)
-        items = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
-        items = cut(items)
-        out, merge = docs, F.pandas_udf(_merge_udf, _RATED)
-        for b in range(n_blocks):
-            out = _pass(out, [tuple(r) for r in items.where(F.col("_block") == b).drop("_block").collect()], window, k, "_1")
-            out = cut(out.withColumn("_0", merge("_0", "_1") if b else F.col("_1")).drop("_1"))
-    out = out.select(*plain, "_0.n_words", "_0.n_hit", "_0.items", "_0.hit_ranges")
+    docs = docs.select(*[F.col(f"`{c}`") for c in plain])
+    small = ROW_BYTES * sum(sizes.values()) <= test_bytes
+    out = _by_arrays(docs, windows, window, k) if small else _by_joins(docs, windows, sorted(sizes), window, k)
+    out = out.select(*[F.col(f"`{c}`") for c in plain], "_0.n_words", "_0.n_hit", "_0.items", "_0.hit_ranges")
     return out.withColumn("contaminated", F.col("n_hit") > 0)
-
-
-def _merge_udf(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for n, x, y, r, s in zip(a["n_words"], a["items"], b["items"], a["hit_ranges"], b["hit_ranges"], strict=True):
-        hit, ranges = _together(r, s)
-        rows.append((n, hit, sorted({*x, *y}), ranges))
-    return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "hit_ranges"])
