@@ -6,7 +6,8 @@
    in permuted order; each block of each pass is a ticket. Their number is bounded, so the tree works on a small table.
 4. The tree halves the tickets: at a node each source's share of the left half is a multivariate-hypergeometric draw
    (selection sampling over the node's tickets), so every shard gets equally many tickets and every quota is exact.
-5. Shards take consecutive tickets of the permuted blocks, which are disjoint; inside a shard documents get a shuffled place.
+5. Shards draw the consecutive tickets that their leaves name, which are disjoint blocks of the permuted passes; what a document gives
+   is the sum of its blocks' draws. Inside a shard documents get a shuffled place (`shards_of`).
 The document that crosses a source's target is taken in part, so what is taken equals the rounded target.
 
 Skew: no step groups documents by source alone other than partial sums; windows run inside blocks.
@@ -102,21 +103,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     sums = sums.withColumn("last_turn", F.sum((F.col("part") > 0).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     sums = cut(sums)
     quotas = sums.groupBy("rank").agg((F.max("whole") * F.max("seen") + F.sum((F.col("part") > 0).cast("long"))).alias("q"))
-    shares = split_tickets(quotas, shards, seed + 2).groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "shard"))).alias("shares"))
-    shard = "filter(shares, x -> x.begin <= {k} and {k} < x.end)[0].shard"
-    passes = f"transform(if(whole > 0, sequence(0L, whole - 1), cast(array() as array<bigint>)), e -> named_struct('epoch', e, 'shard', {shard.format(k='(e * seen + turn)')}, 'most', cast(null as bigint)))"
-    last = f"if(part > 0, array(named_struct('epoch', whole, 'shard', {shard.format(k='(whole * seen + last_turn)')}, 'most', part)), cast(array() as array<struct<epoch: bigint, shard: bigint, most: bigint>>))"
-    tickets = sums.join(shares, "rank").select("rank", "block", F.expr(f"concat({passes}, {last})").alias("tickets"))
+    # The tree's leaves name the tickets that a shard draws; a ticket is a turn in one pass over the source's permuted blocks.
+    drawn = split_tickets(quotas, shards, seed + 2).where("end > begin").select("rank", "shard", F.explode(F.sequence("begin", F.col("end") - 1)).alias("ticket"))
+    passes = sums.groupBy("rank").agg(F.max("seen").alias("_seen"), F.max("whole").alias("_whole"))
+    drawn = drawn.join(F.broadcast(passes) if passes.count() <= BLOCKS else passes, "rank").withColumn("epoch", F.least(F.expr("ticket div _seen"), F.col("_whole")))
+    drawn = drawn.select("rank", "shard", "epoch", (F.col("epoch") == F.col("_whole")).alias("last"), (F.col("ticket") - F.col("epoch") * F.col("_seen")).alias("turn"))
+    turns = sums.where("whole > 0").select("rank", "block", F.lit(False).alias("last"), "turn", F.lit(None).cast("long").alias("most"))
+    turns = turns.union(sums.where("part > 0").select("rank", "block", F.lit(True), "last_turn", "part"))
+    tickets = drawn.join(turns, ["rank", "last", "turn"]).groupBy("rank", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "most"))).alias("tickets"))
 
     inside = Window.partitionBy("rank", "block").orderBy(F.xxhash64(F.lit(seed + 3), "doc_id", "size"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = placed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(tickets, ["rank", "block"], "left")
     words = "if(t.most is null, size, least(greatest(t.most - before, 0L), size))"
     draws = f"filter(transform(tickets, t -> named_struct('epoch', t.epoch, 'shard', t.shard, 'place', xxhash64({seed + 4}L, t.epoch, t.shard, doc_id), 'words', {words})), d -> d.words > 0)"
-    out = out.withColumn("draws", F.expr(draws)).withColumn("taken", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)"))
+    none = "cast(array() as array<struct<epoch: bigint, shard: bigint, place: bigint, words: bigint>>)"
+    out = out.withColumn("draws", F.expr(f"coalesce({draws}, {none})")).withColumn("taken", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken", "draws")
 
 
 def shards_of(mixed: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """One row per draw, each shard in one sorted run of `place`: what a writer of training shards stores."""
+    """One row per draw, each shard in sorted runs of `place`: what a writer of training shards stores."""
     rows = mixed.select("doc_id", "source", F.inline("draws"))
     return rows.repartition(shards, "shard").sortWithinPartitions("shard", "place", "doc_id")

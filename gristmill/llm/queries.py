@@ -62,7 +62,8 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    shown = F.expr("array_join(transform(draws, d -> concat(d.epoch, ':', d.shard, ':', d.words)), ',')")
+    return out.select("doc_id", "size", "source_size", "target", "taken", shown.alias("draws"))
 
 
 def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,9 +103,9 @@ SELECT page_id, n AS payload_bytes,
 FROM f
 """,
     "op5_topk_search": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x : floor(256 * x::DOUBLE)) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x : floor(256 * x::DOUBLE)) AS v FROM embeddings),
+s AS (SELECT q.r AS q, q.vec_id AS query_id, c.r AS c, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.r <> c.r)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, c) AS rank FROM s) WHERE rank <= 5
 """,
     "op6_chat_format": r"""
 WITH t AS (
