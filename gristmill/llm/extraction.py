@@ -1,17 +1,22 @@
 """Main-text extraction by wrapper induction.
 
-For each host a wrapper is induced from a bounded sample (the SAMPLE pages of least id hash): their DOM trees are aligned to the
-first one by simple tree matching. Aligned nodes whose own text is the same in all pages that have them are template; the others are
-slots. The slots' text, without links and the parts that HTML itself names as no content, settles which element holds the content.
-Every page of the host is then read whole by its wrapper: the content element's blocks, without template blocks (elements at a template's
-path with its whole text; outside of an element that HTML names as the article, lines of a template's own text, too) and without menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments.
-A page in which the wrapper's element is missing, or a host of one page, gets the same choice from its own tree.
-
-The sample is found by ids alone; wrappers are small. They are broadcast if their number allows it (checked), else joined by host, where
-hosts that hold many pages are salted.
-
-Defined cases: null or empty html gives an empty text; broken html is read as far as it goes, missing end tags are supplied; a null url is
-a host of its own; repeated rows give their texts each; a page without any content element gives its body's text.
+A page's tree is read into an outline: its block elements outside of the parts that HTML itself names as no content, each with its lines
+(text up to the next block border). For each host a wrapper is induced from all of its pages:
+1. The page of lower-quartile length gives the host's reference outline. Each page is aligned to it by simple tree matching, which names
+   its lines: by the reference node that they align with, else by their label path.
+2. A line that the same node has with the same text on enough of the host's pages is template; all others are slots. Pages that share
+   their first or their longest line (of those that differ from the reference's) are copies and count once, so that a text found on many pages stays text.
+3. On each page the lines that differ from the reference's same node are its slots; their text, without links, settles which element holds
+   the content, and the host's pages vote by its length.
+The counts are grouped sums over all pages; no host is gathered in one task. Every page is then read whole by its host's wrapper: the
+lines of the content element without the template. A page in which the wrapper's element is missing, or a host of one page, gets the same
+choice from its own slots.
+
+Reference outlines and wrappers are broadcast if their bytes allow it (summed first), else joined by host, with salts for hosts that hold many pages.
+
+Defined cases: null or empty html gives an empty text; broken html is read as browsers do, missing end tags are supplied and an
+unfinished tag ends the page; a null url is a host of its own; repeated rows give their texts each; a page without any content element
+gives its body's text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,24 +24,25 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import cut, small_batches
 
-SAMPLE = 8
-#: A node is template if at least so many pages, and this share of the sample, have it with one text.
+#: A line is template if at least so many pages, and this share of the host's pages, have it.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.6
-#: Wrappers up to this number are broadcast; beyond, hosts are joined with so many salts.
-WRAPPERS, SALTS = 20_000, 32
-#: Children lists of trees larger than this are matched by label order alone.
-MATCH_CELLS = 4_000
+#: The same inside of an element that HTML names as the article, where a common passage may stand on many pages.
+INSIDE_PAGES, INSIDE_SHARE = 10, 0.9
+#: An element holds the content if it has this share of the slots' text; one that HTML names as the article, if it has this one.
+CONTENT_SHARE, NAMED_SHARE = 0.8, 0.5
+#: References or wrappers up to these bytes are broadcast; beyond, hosts are joined with so many salts.
+BROADCAST_BYTES, SALTS = 8 << 20, 32
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -46,82 +52,104 @@ BLOCKS = frozenset(
 ENDS_P = BLOCKS - frozenset("body caption html legend summary tbody td tfoot th thead tr li dd dt".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = frozenset("ul ol dl table select article section div main aside nav body html blockquote form".split())
-#: Elements, roles and name parts that hold no article text.
-ASIDE = frozenset("nav footer aside form script style noscript template iframe svg canvas object button select textarea input head title dialog menu audio video map".split())
-ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Elements, roles and names of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
+ASIDE = frozenset("nav footer aside form script style noscript template iframe svg canvas button select textarea input head title menu audio video map".split())
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert menu menubar form".split())
 ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|sidebar|side-bar|rail|widget|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|"
-    r"footer|masthead|site-header|topbar|toolbar|share|sharing|social|comments?|commentlist|comment-list|disqus|replies|respond|related|recommend\w*|trending|skip-link|login|search)(?:$|[\s_-])",
-    re.I,
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsored|cookies?|consent|notices?|sidebar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|respond)(?:$|[\s_-])", re.I
 )
-HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:page-?)?header(?:$|[\s_-])", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:page-?|site-?)?header(?:$|[\s_-])", re.I)
+#: Elements that hold lines, not content as a whole.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li td th tr dt dd pre figcaption caption blockquote".split())
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_REST = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
-_SPACE = re.compile(r"\s+")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
+_SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d{2,}")
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "children", "size")
+    __slots__ = ("tag", "names", "role", "hidden", "children")
 
     def __init__(self, tag: str, names: str = "", role: str = "", hidden: bool = False):
         self.tag, self.names, self.role, self.hidden = tag, names, role, hidden
         self.children: list[Node | str] = []
-        self.size = 1
 
-    @property
-    def label(self) -> str:
-        return f"{self.tag}.{self.names}" if self.names else self.tag
 
-    def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
+class _Open:
+    """The stack of open elements; where each tag was opened last is known, so that no search runs over the stack."""
 
+    def __init__(self, root: Node):
+        self.stack, self.at, self.scopes = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, tag: str, scoped: bool) -> None:
+        found = self.at.get(tag)
+        if not found or scoped and found[-1] < self.scopes[-1]:
+            return
+        upto = found[-1]
+        while len(self.stack) > upto:
+            gone = self.stack.pop()
+            self.at[gone.tag].pop()
+            if gone.tag in SCOPE:
+                self.scopes.pop()
 
-def parse(source: str) -> Node:
-    """A tree of any text, whatever is missing in it."""
-    root = Node("#root")
-    stack, at, n = [root], 0, len(source)
-
-    def close(tag: str, inside: frozenset[str] | None = None) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                del stack[i:]
-                return
-            if inside and stack[i].tag in inside:
-                return
 
+def parse(source: str) -> Node:
+    """A tree of any text, whatever is missing in it, in time linear in the text."""
+    root, at, n = Node("#root"), 0, len(source)
+    on = _Open(root)
     while at < n:
-        m = _TAG.search(source, at)
-        if m is None:
-            stack[-1].children.append(source[at:])
+        i = source.find("<", at)
+        if i < 0:
+            on.stack[-1].children.append(source[at:])
             break
-        if m.start() > at:
-            stack[-1].children.append(source[at : m.start()])
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            continue
-        if m[1]:
-            close(m[1].lower())
+        mark = source[i + 1 : i + 2]
+        closing = mark == "/"
+        name = _NAME.match(source, i + 1 + closing)
+        if name is None and not closing and mark not in ("!", "?"):  # a sign, no tag
+            on.stack[-1].children.append(source[at : i + 1])
+            at = i + 1
             continue
-        if not m[2]:
+        if i > at:
+            on.stack[-1].children.append(source[at:i])
+        if name is None or closing:
+            ends = ("-->", 4) if source.startswith("<!--", i) else ("]]>", 9) if source.startswith("<![CDATA[", i) else (">", 1)
+            end = source.find(ends[0], i + ends[1])
+            at = n if end < 0 else end + len(ends[0])
+            if name is not None:
+                on.close(name[0].lower(), False)
             continue
-        tag = m[2].lower()
-        given = {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(m[3])} if m[3] else {}
+        tag, rest = name[0].lower(), _REST.match(source, name.end())
+        at = rest.end() + 1
+        if at > n or source[at - 1] != ">":  # the page ends inside a tag
+            break
+        given = {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(rest[0])} if rest[0] else {}
         if tag in ENDS_P:
-            close("p", SCOPE)
+            on.close("p", True)
         for other in CLOSED_BY.get(tag, ()):
-            close(other, SCOPE - {tag})
+            on.close(other, True)
         names = " ".join(x for x in (given.get("class", ""), given.get("id", "")) if x)
         node = Node(tag, names, given.get("role", "").lower(), "hidden" in given or given.get("aria-hidden", "").lower() == "true")
-        stack[-1].children.append(node)
+        on.stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            end = _RAW_ENDS[tag].search(source, at)
             node.children.append(source[at : end.start()] if end else source[at:])
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+        elif tag not in VOID and not rest[0].rstrip().endswith("/"):
+            on.push(node)
     return root
 
 
+def is_article(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.role in ("article", "main")
+
+
 def is_aside(node: Node, inside_article: bool) -> bool:
     if node.tag in ASIDE or node.hidden or node.role in ASIDE_ROLES:
         return True
@@ -132,188 +160,221 @@ def is_aside(node: Node, inside_article: bool) -> bool:
     return bool(ASIDE_NAMES.search(node.names) or not inside_article and HEADER_NAMES.search(node.names))
 
 
-def blocks_of(node: Node, skip=None, gone: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    """The node's block texts in page order. `skip(text)` leaves a block out; so does an element's id in `gone`."""
-    out: list[str] = []
-    line: list[str] = []
+class Block:
+    """A block element in an outline: label, hash of the labels from the top, depth, whether it is or stands in an article, and what is below."""
+
+    __slots__ = ("label", "path", "depth", "article", "inside", "children", "shape", "size", "name", "known", "w")
 
-    def flush() -> None:
-        text = _SPACE.sub(" ", entities.unescape("".join(line))).strip() if line else ""
+    def __init__(self, label: str, above: Block | None, article: bool = False):
+        self.label, self.depth, self.article = label, above.depth + 1 if above else 0, article
+        self.path = hashed(str(above.path), label) if above else 0
+        self.inside = article or above is not None and above.inside
+        self.children: list[Block] = []
+        self.shape, self.size, self.name, self.known, self.w = 0, 1, str(self.path), frozenset(), 0
+
+
+def hashed(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
+
+
+def _sum_up(blocks: list[Block]) -> None:
+    """Shapes and sizes. `blocks` come in page order."""
+    for b in reversed(blocks):
+        b.shape = hash((b.label, *[c.shape for c in b.children]))
+        b.size += sum(c.size for c in b.children)
+
+
+def outline(root: Node) -> tuple[list[Block], list[tuple[Block, str, int]]]:
+    """The blocks in page order, and the lines: block, text, letters inside of links."""
+    top = Block("", None)
+    blocks, lines, line, linked = [top], [], [], [0]
+
+    def flush(block: Block) -> None:
+        if line:
+            text = _SPACE.sub(" ", entities.unescape("".join(line))).strip()
+            if text:
+                lines.append((block, text, linked[0]))
         line.clear()
-        if text and not (skip and skip(text)):
-            out.append(text)
+        linked[0] = 0
 
     # an explicit stack: trees may be deeper than Python's own
-    todo: list = [(node, True, node.tag in ("article", "main"))]
+    todo: list = [(root, top, False, False, 0)]
     while todo:
-        what, entering, inside = todo.pop()
+        what, block, inside, link, leaving = todo.pop()
         if isinstance(what, str):
             line.append(what)
+            linked[0] += len(what) if link else 0
             continue
-        block = what.tag in BLOCKS
-        if not entering:
-            flush()
+        if leaving:
+            flush(block)
             continue
-        if what is not node and (id(what) in gone or is_aside(what, inside)):
-            flush() if block else line.append(" ")
+        if is_aside(what, inside):
+            flush(block) if what.tag in BLOCKS else line.append(" ")
             continue
         if what.tag in ("br", "hr"):
             line.append(" ")
             continue
-        inside = inside or what.tag in ("article", "main")
-        if block:
-            flush()
-            todo.append((what, False, inside))
-        todo.extend((c, True, inside) for c in reversed(what.children))
-    flush()
-    return out
-
-
-def walk(root: Node) -> Iterator[tuple[Node, str, bool]]:
-    """Elements outside of asides, with their label paths and whether they stand in an article, in page order."""
-    todo = [(root, "", False)]
-    while todo:
-        node, path, inside = todo.pop()
-        yield node, path, inside
-        inside = inside or node.tag in ("article", "main")
-        for c in reversed(node.children):
-            if isinstance(c, Node) and not is_aside(c, inside):
-                todo.append((c, f"{path}/{c.label}", inside))
+        inside = inside or is_article(what)
+        link = link or what.tag == "a"
+        if what.tag in BLOCKS:
+            flush(block)
+            names = _DIGITS.sub("#", what.names)
+            below = Block(f"{what.tag}.{names if len(names) < 80 else hashed(names)}" if names else what.tag, block, is_article(what))
+            block.children.append(below)
+            blocks.append(below)
+            todo.append((what, below, inside, link, 1))
+            block = below
+        todo.extend((c, block, inside, link, 0) for c in reversed(what.children))
+    flush(top)
+    _sum_up(blocks)
+    return blocks, lines
 
 
 # Simple tree matching.
 
 
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None, depth: int = 0) -> int:
-    """The size of the greatest order-keeping top-down mapping of equal labels; `pairs` gets the mapping."""
-    if a.label != b.label:
-        return 0
-    x, y = a.elements(), b.elements()
-    if pairs is not None:
-        pairs.append((a, b))
-    if not x or not y or depth > 60:
-        return 1
-    flat = len(x) * len(y) > MATCH_CELLS
-    w = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    own: dict[tuple[int, int], int] = {}
-    for i, p in enumerate(x, 1):
-        above, row, label = w[i - 1], w[i], p.label
-        for j, q in enumerate(y, 1):
-            best = above[j] if above[j] > row[j - 1] else row[j - 1]
-            if label == q.label:
-                s = 1 if flat or not (p.children and q.children) else match(p, q, None, depth + 1)
-                own[i, j] = s
-                if above[j - 1] + s > best:
-                    best = above[j - 1] + s
-            row[j] = best
-    if pairs is not None:
-        i, j, mapped = len(x), len(y), []
+def _matching(a: Block, b: Block, found: dict) -> Generator[tuple[Block, Block], int, None]:
+    """Scores the order-keeping top-down mapping of two blocks of one label; asks for the scores of children by `yield`.
+
+    Children of equal shape at both ends are mapped to each other, which no better mapping can beat; between them a table is filled.
+    """
+    x, y = a.children, b.children
+    i, j = 0, 0
+    while i < len(x) and i < len(y) and x[i].shape == y[i].shape:
+        i += 1
+    while j < len(x) - i and j < len(y) - i and x[len(x) - 1 - j].shape == y[len(y) - 1 - j].shape:
+        j += 1
+    mapped = [(x[k], y[k]) for k in range(i)] + [(x[len(x) - k], y[len(y) - k]) for k in range(j, 0, -1)]
+    score = 1 + sum(p.size for p, _ in mapped)
+    x, y = x[i : len(x) - j], y[i : len(y) - j]
+    if x and y:
+        own: dict[tuple[int, int], int] = {}
+        rows = [[0] * (len(y) + 1)]
+        for p in x:
+            above, row = rows[-1], [0]
+            for k, q in enumerate(y, 1):
+                best = above[k] if above[k] > row[k - 1] else row[k - 1]
+                if p.label == q.label:
+                    s = p.size if p.shape == q.shape else (yield p, q)
+                    own[len(rows), k] = s
+                    if above[k - 1] + s > best:
+                        best = above[k - 1] + s
+                row.append(best)
+            rows.append(row)
+        score += rows[-1][-1]
+        i, j = len(x), len(y)
         while i and j:
-            if (s := own.get((i, j))) and w[i][j] == w[i - 1][j - 1] + s:
-                mapped.append((i - 1, j - 1))
+            if (s := own.get((i, j))) and rows[i][j] == rows[i - 1][j - 1] + s:
+                mapped.append((x[i - 1], y[j - 1]))
                 i, j = i - 1, j - 1
-            elif w[i][j] == w[i - 1][j]:
+            elif rows[i][j] == rows[i - 1][j]:
                 i -= 1
             else:
                 j -= 1
-        for i, j in reversed(mapped):
-            match(x[i], y[j], pairs, depth + 1)
-    return w[-1][-1] + 1
-
+    found[id(a), id(b)] = score, mapped
 
-def own_text(node: Node) -> str:
-    return _SPACE.sub(" ", entities.unescape(" ".join(c for c in node.children if isinstance(c, str)))).strip()
 
-
-def whole_text(node: Node) -> str:
-    """All text below the node, as one line."""
-    parts, todo = [], [node]
+def match(a: Block, b: Block) -> list[tuple[Block, Block]]:
+    """The greatest order-keeping top-down mapping of blocks of equal labels. Runs on a stack of its own."""
+    if a.label != b.label:
+        return []
+    found: dict[tuple[int, int], tuple[int, list]] = {}
+    running, answer = [((id(a), id(b)), _matching(a, b, found))], None
+    while running:
+        key, work = running[-1]
+        try:
+            p, q = work.send(answer)
+            answer = None
+            if (id(p), id(q)) in found:
+                answer = found[id(p), id(q)][0]
+            else:
+                running.append(((id(p), id(q)), _matching(p, q, found)))
+        except StopIteration:
+            running.pop()
+            answer = found[key][0]
+    pairs, todo = [], [(a, b)]
     while todo:
-        what = todo.pop()
-        if isinstance(what, str):
-            parts.append(what)
-            continue
-        if what.tag in BLOCKS or what.tag == "br":
-            parts.append(" ")
-        todo.extend(reversed(what.children))
-    return _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-
+        p, q = todo.pop()
+        pairs.append((p, q))
+        todo += found[id(p), id(q)][1] if (id(p), id(q)) in found else zip(p.children, q.children, strict=True)
+    return pairs
+
+
+def skeleton(source: str) -> str:
+    """A page's blocks in page order: label, number of children, and the hashes of the lines."""
+    blocks, lines = outline(parse(source))
+    own: dict[int, list[int]] = {}
+    for b, text, _ in lines:
+        own.setdefault(id(b), []).append(hashed(text))
+    return json.dumps([[b.label, len(b.children), own.get(id(b), [])] for b in blocks], ensure_ascii=False)
+
+
+def from_skeleton(text: str) -> Block:
+    blocks, open_ = [], []
+    for i, (label, n, lines) in enumerate(json.loads(text)):
+        b = Block(label, None)
+        b.name, b.known = f"={i}", frozenset(lines)
+        blocks.append(b)
+        if open_:
+            open_[-1][0].children.append(b)
+            open_[-1][1] -= 1
+        open_.append([b, n])
+        while open_ and not open_[-1][1]:
+            open_.pop()
+    _sum_up(blocks)
+    return blocks[0]
+
+
+#: A line of a page: its block, text, weight, and the hashes of its node and text.
+Line = tuple[Block, str, int, int, int]
+
+
+def aligned(source: str, reference: Block | None) -> tuple[list[Block], list[Line]]:
+    """A page's blocks and lines, named by the reference. A line weighs its letters; one that is mostly link weighs nothing."""
+    blocks, lines = outline(parse(source))
+    if reference is not None:
+        for a, b in match(reference, blocks[0]):
+            b.name, b.known = a.name, a.known
+    return blocks, [(b, text, 0 if 2 * linked > len(text) else len(text), hashed(b.name), hashed(text)) for b, text, linked in lines]
+
+
+def choose(blocks: list[Block], slots: list[Line]) -> tuple[int, int] | None:
+    """Path and weight of the element that holds the content: of those that HTML names as articles the greatest, if it holds most of the slots'
+    text; else the deepest that does."""
+    for b in blocks:
+        b.w = 0
+    for b, _, w, _, _ in slots:
+        b.w += w
+    for b in reversed(blocks):
+        b.w += sum(c.w for c in b.children)
+    total, by_path = blocks[0].w, {}
+    for b in blocks:
+        w, *_ = by_path.get(b.path, (0,))
+        by_path[b.path] = (w + b.w, b.depth, b.article, b.label.split(".")[0] in LEAVES)
+    if not total:
+        return None
+    named = [(w, depth, path) for path, (w, depth, article, _) in by_path.items() if article and w >= NAMED_SHARE * total]
+    if named:
+        w, _, path = max(named)
+        return path, w
+    _, w, path = max((depth, w, path) for path, (w, depth, _, leaf) in by_path.items() if not leaf and w >= CONTENT_SHARE * total)
+    return path, w
 
-def choose(weights: dict[str, tuple[float, bool]]) -> str | None:
-    """The label path of the content element. weights: text of the slots at or below each path, and whether it is an article.
 
-    The greatest element that HTML names as the article; else the deepest that still holds most of the text.
-    """
-    named = [(w, p) for p, (w, article) in weights.items() if article and w > 0]
-    if named:
-        return max(named, key=lambda x: (x[0], -len(x[1])))[1]
-    total = max((w for w, _ in weights.values()), default=0)
-    deep = [(p.count("/"), w, p) for p, (w, _) in weights.items() if total and w >= 0.8 * total and p.rsplit("/", 1)[-1].split(".")[0] not in ("p", "h1", "li", "td", "tr", "span", "b", "i", "em", "strong", "a")]
-    return max(deep)[2] if deep else None
-
-
-def text_weights(root: Node, template: set[tuple[str, str]], into: dict[str, list]) -> None:
-    """Adds the text that isn't template or link to every path above it."""
-    for node, path, _ in walk(root):
-        text = own_text(node)
-        article = node.tag == "article" or node.tag == "main" or node.role == "main" or node.role == "article"
-        into.setdefault(path, [0.0, article])
-        if text and node.tag != "a" and (path, text) not in template:
-            parts = path.split("/")
-            for i in range(1, len(parts) + 1):
-                above = into.setdefault("/".join(parts[:i]), [0.0, False])
-                above[0] += len(text)
-
-
-def induce(sources: list[str]) -> dict:
-    """The wrapper of same-host pages: path of the content element, and template blocks by path."""
-    trees = [parse(s) for s in dict.fromkeys(sources) if s]  # copies of one page don't make its text template
-    seen: dict[int, Counter] = {}
-    whole: dict[int, Counter] = {}
-    paths: dict[int, str] = {}
-    if trees:
-        paths = {id(n): p for n, p, _ in walk(trees[0])}
-        for node, _, _ in walk(trees[0]):
-            seen[id(node)] = Counter([own_text(node)])
-            if node.tag in BLOCKS:
-                whole[id(node)] = Counter([whole_text(node)])
-        for tree in trees[1:]:
-            pairs: list[tuple[Node, Node]] = []
-            match(trees[0], tree, pairs)
-            for a, b in pairs:
-                if id(a) in seen:
-                    seen[id(a)][own_text(b)] += 1
-                if id(a) in whole:
-                    whole[id(a)][whole_text(b)] += 1
-    least = max(TEMPLATE_PAGES, TEMPLATE_SHARE * len(trees))
-    template, blocks = ({(paths[i], text) for i, texts in found.items() for text, k in texts.items() if text and len(texts) == 1 and k >= least} for found in (seen, whole))
-    weights: dict[str, list] = {}
-    for tree in trees:
-        text_weights(tree, template, weights)
-    return {"content": choose({p: (w, a) for p, (w, a) in weights.items()}), "template": sorted({t for _, t in template}), "blocks": sorted(blocks)}
-
-
-def extract(source: str | None, wrapper: dict | None) -> str:
+def extract(source: str | None, wrapper: dict | None, reference: Block | None = None) -> str:
+    """wrapper: content (a path or None) and template (pairs of node and line)."""
     if not source:
         return ""
-    root = parse(source)
+    blocks, lines = aligned(source, reference)
+    slots = [x for x in lines if (x[3], x[4]) not in wrapper["template"]] if wrapper else lines
     content = wrapper["content"] if wrapper else None
-    at_path: dict[str, list[Node]] = {}
-    for node, path, _ in walk(root):
-        at_path.setdefault(path, []).append(node)
-    if content not in at_path:
-        weights: dict[str, list] = {}
-        text_weights(root, set(), weights)
-        content = choose({p: (w, a) for p, (w, a) in weights.items()})
-    nodes = at_path.get(content) if content else None
-    if not nodes:
-        nodes = at_path.get("/html/body") or [root]
-    last = (content or "").rsplit("/", 1)[-1].split(".")[0]
-    template = set(wrapper["template"]) if wrapper and last not in ("article", "main") else set()
-    gone: set[int] = set()
-    for path, text in wrapper["blocks"] if wrapper else ():
-        gone.update(id(n) for n in at_path.get(path, ()) if id(n) not in gone and whole_text(n) == text)
-    return " ".join(t for node in nodes for t in blocks_of(node, template.__contains__ if template else None, gone))
+    if content is None or all(b.path != content for b in blocks):
+        content, _ = choose(blocks, slots) or (blocks[0].path, 0)
+    held = {id(b) for b in blocks if b.path == content}
+    for b in blocks:  # in page order, so what is above comes first
+        if id(b) in held:
+            held.update(map(id, b.children))
+    return " ".join(text for b, text, *_ in slots if id(b) in held)
 
 
 def host_of(url: str | None) -> str:
@@ -327,43 +388,99 @@ def _host(urls: pd.Series) -> pd.Series:
     return urls.map(host_of, na_action=None)
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) of each host. `pages`: page_id, host, html."""
-    w = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    sample = cut(pages.select("host", "page_id").distinct().withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= SAMPLE).select("page_id", F.col("host").alias("_host")))
-    if sample.count() <= WRAPPERS:
-        sample = F.broadcast(sample)
-    chosen = pages.join(sample, (F.col("host") == F.col("_host")) & pages["page_id"].eqNullSafe(sample["page_id"]), "left_semi")
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("page_id").to_pylist(), table.column("html").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps(induce([h for _, h in rows if h][:SAMPLE]))]})
-
-    return cut(chosen.groupBy("host").applyInArrow(run, "host string, wrapper string"))
+class _Known:
+    """What was read from some texts, remembered in a worker up to a bound."""
+
+    def __init__(self, read):
+        self.read, self.known = read, {}
+
+    def of(self, text: str | None):
+        if text is not None and text not in self.known:
+            if len(self.known) > 500:
+                self.known.clear()
+            self.known[text] = self.read(text)
+        return self.known[text] if text is not None else None
+
+
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch({"host": batch.column("host"), "reference": [skeleton(h) for h in batch.column("html").to_pylist()]})
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page its distinct lines (node, line, whether in an article), and the content's path and weight by the lines that differ from
+    the reference's. first, longest: the hashes of the first and the longest of these (of all, if none differs) that is no link."""
+    references = _Known(from_skeleton)
+    for batch in batches:
+        out = []
+        for host, source, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
+            blocks, lines = aligned(source, references.of(reference))
+            if not lines:
+                continue
+            slots = [x for x in lines if x[4] not in x[0].known]
+            own = [x for x in slots if x[2]] or lines
+            same = (own[0][4], max(own, key=lambda x: len(x[1]))[4])
+            out += [(host, None, None, node, line, inside, *same) for node, line, inside in dict.fromkeys((x[3], x[4], x[0].inside) for x in lines)]
+            if (content := choose(blocks, slots)) is not None:
+                out.append((host, *content, None, None, None, *same))
+        kinds = [pa.string(), *[pa.int64()] * 4, pa.bool_(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["host", "path", "w", "node", "line", "inside", "first", "longest"])
+
+
+def _with(rows: DataFrame, found: DataFrame, size: Column) -> DataFrame:
+    """`rows` with the columns that `found` has for their host."""
+    if (found.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(found), "host", "left")
+    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left").drop("_salt")
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """host, reference: the skeleton of a page whose length is the host's lower quartile. pages: page_id, host, html."""
+    pages = pages.where("html <> ''").withColumn("n", F.length("html"))
+    sizes = cut(pages.select("host", "n", "page_id"))
+    typical = sizes.groupBy("host").agg(F.percentile_approx("n", 0.25, 1000).alias("n"))
+    chosen = cut(_with(sizes, typical.withColumnRenamed("n", "q"), F.length("host") + 16).where("n = q").groupBy("host", "q").agg(F.min("page_id").alias("id")))
+    one = _with(pages, chosen, F.length("host") + 32).where((F.col("n") == F.col("q")) & F.col("page_id").eqNullSafe(F.col("id"))).groupBy("host").agg(F.min("html").alias("html"))
+    return cut(one.mapInArrow(_skeletons, "host string, reference string"))
+
+
+def wrappers(pages: DataFrame, refs: DataFrame) -> DataFrame:
+    """host, reference, content (a path), template (the hashes of node and line, in turn). pages: page_id, host, html."""
+    rows = _with(pages.where("html <> ''").select("page_id", "host", "html"), refs, F.length("reference"))
+    rows = cut(rows.mapInArrow(_lines, "host string, path long, w long, node long, line long, inside boolean, first long, longest long"))
+    lines, copies = rows.where("line IS NOT NULL"), F.least(F.count_distinct("first"), F.count_distinct("longest")).alias("n")
+    number = rows.select("host", "first", "longest").distinct().groupBy("host").agg(copies).withColumnRenamed("n", "pages")
+    least = F.when(F.col("inside"), F.greatest(F.lit(INSIDE_PAGES), F.col("pages") * INSIDE_SHARE)).otherwise(F.greatest(F.lit(TEMPLATE_PAGES), F.col("pages") * TEMPLATE_SHARE))
+    key = ["host", "node", "line", "inside"]
+    often = lines.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES).join(number, "host").where(F.col("n") >= least).drop("n")
+    often = cut(often)
+    often = F.broadcast(often) if 64 * often.count() <= BROADCAST_BYTES else often
+    distinct = lines.join(often, key).select(*key, "pages", "first", "longest").distinct().groupBy(*key, "pages").agg(copies).where(F.col("n") >= least)
+    template = distinct.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("node", "line"))).alias("template"))
+    content = rows.where("path IS NOT NULL").groupBy("host", "path").agg(F.sum("w").alias("w")).groupBy("host").agg(F.max_by("path", F.struct("w", "path")).alias("content"))
+    flat = F.flatten(F.transform("template", lambda x: F.array(x["node"], x["line"])))
+    return cut(refs.join(content, "host", "left").join(template, "host", "left").select("host", "reference", "content", F.coalesce(flat, F.array().cast("array<long>")).alias("template")))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of `pages` (page_id, url, html)."""
     host = F.pandas_udf(_host, "string")
-    rows = small_batches(pages).select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url").cast("string")).alias("host"))
-    found = wrappers(rows.select("page_id", "host", "html"))
-    if found.count() <= WRAPPERS:
-        joined = rows.join(F.broadcast(found), "host", "left")
-    else:
-        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    rows = small_batches(pages).select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    rows = rows.withColumn("host", host("url"))
+    found = wrappers(rows, references(rows))
+    found = found.select("host", F.to_json(F.struct("content", "template", "reference")).alias("wrapper"))
+    joined = _with(rows, found, F.length("wrapper"))
+
+    def read(text: str) -> tuple[dict, Block]:
+        own = json.loads(text)
+        t = own["template"]
+        return {"content": own.get("content"), "template": set(zip(t[::2], t[1::2], strict=True))}, from_skeleton(own["reference"])
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, dict] = {}
+        known = _Known(read)
         for sources, names in batches:
-            out = []
-            for source, name in zip(sources, names, strict=True):
-                if name is not None and name not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[name] = json.loads(name)
-                out.append(extract(source, known.get(name)))
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([extract(source, *(known.of(name) or (None, None))) for source, name in zip(sources, names, strict=True)], dtype=object)
 
     text = F.pandas_udf(run, "string")("html", "wrapper")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
