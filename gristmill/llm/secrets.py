@@ -1,14 +1,13 @@
 """Secret scans by a randomness test battery. DataFrame and SQL functions only.
 
-Base spans come from three patterns. Besides, every long run of token letters is a candidate: its encoding is inferred from the
+Base spans come from three patterns. Besides, every run of LEAST token letters or more is a candidate: its encoding is inferred from the
 letters it holds. A run that fits no alphabet is split at / and +, at - and _, and at all four; each long piece that fits one is a
-candidate. Digits alone are none, as written numbers are no less random. The battery runs on the letters' indices in the alphabet:
-- chi-squared against a uniform alphabet, runs about the alphabet's middle, lag-1 serial correlation. A random string passes all
-  three; one that a test rejects at GATE is no secret.
-- the coincidence index against that of written language gives a p-value for "this is text", with a variance that knows the length.
-  Where no digit is held, it counts a letter's two cases as one, as written language does. Upper-case hex coincides about as often as
-  language; its p-value is the chance that so many written letters are all from A to F (HEX_SHARE is above that of English, French,
-  German, Italian, Portuguese and Spanish), and its band counts the candidates of that length in all encodings, since few texts get there.
+candidate. Digits alone are none, as written numbers are no less random. Two things are asked of a candidate:
+- Randomness: chi-squared against a uniform alphabet, runs about the alphabet's middle, lag-1 serial correlation, on the letters'
+  indices in the alphabet. A random string passes all three; one that a test rejects at GATE is no secret.
+- That it isn't written: its likelihood as a uniform draw from its alphabet against that under a model of written names and words (kinds of
+  letters by the kind before, letters by their share in language, cases that seldom change). The inverse of that ratio, times the number of
+  alphabets tried, is a p-value for "this is written", whatever the alphabet and length: under the model the ratio exceeds c at 1/c at most.
 False discoveries are controlled at FDR by Benjamini-Hochberg within each band of encoding and length. The p-values are
 counted in fixed bins, so the step-up rule needs a table of bounded size and no sort of all candidates; a bin counts with its upper
 edge, which keeps the rule on the safe side.
@@ -19,6 +18,8 @@ Defined cases: a null or empty text has no span; repeated rows are scanned each;
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_LONG = ASSIGN[:-2] + "{12,})"
 ACCESS = "AKIA[A-Z0-9]{14,}"  # the run is taken whole, so this equals dropping runs under 18
 HEX = "[0-9a-f]{16,}"
-CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Letters of a candidate at least.
+LEAST = 16
+CANDIDATE = f"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
 KINDS = ("assign", "access", "hex", "random")
 FDR, GATE = 0.01, 0.001
 #: Alphabets in their usual order.
@@ -47,12 +50,15 @@ ALPHABETS = {
     "letters64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/",
     "letters64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_",
 }
-#: Fixed value: no less than the share of the letters a to f in written language.
-HEX_SHARE = 0.4
 #: Pieces of a run that fits no alphabet.
-PIECES = ("[A-Za-z0-9_-]{20,}={0,2}", "[A-Za-z0-9+/]{20,}={0,2}", "[A-Za-z0-9]{20,}={0,2}")
-#: Sum of squared and of cubed letter shares of written English.
-COINCIDENCE, CUBES = 0.0655, 0.0052
+PIECES = tuple(f"[A-Za-z0-9{more}]{{{LEAST},}}={{0,2}}" for more in ("_-", "+/", ""))
+#: Shares of the letters a to z in written language, in per mille (mean of English, French, German and Spanish).
+SHARES = (85, 16, 32, 45, 140, 14, 19, 30, 68, 4, 6, 45, 28, 76, 61, 19, 6, 66, 74, 68, 40, 12, 11, 2, 8, 5)
+#: The model of written names: a letter's kind (vowel, consonant, digit, mark) by the kind before it, the last row for the first letter;
+#: this part of the letters comes evenly; the first letter after none is lower-case, and the next one keeps the case, with these chances.
+KINDS_AFTER = ((0.13, 0.82, 0.02, 0.03), (0.50, 0.43, 0.03, 0.04), (0.06, 0.12, 0.72, 0.10), (0.25, 0.55, 0.15, 0.05), (0.20, 0.45, 0.30, 0.05))
+EVEN, LOWER_FIRST, SAME_CASE = 0.1, 0.6, 0.95
+MARKS = "+/_-"
 #: The upper tail of the normal distribution (Abramowitz and Stegun 26.2.17).
 _TAIL = (0.2316419, (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429))
 #: Bins of -log10(p), and their number.
@@ -98,11 +104,33 @@ def _encoding(s: str) -> str:
 def _candidates(runs: str = "_found") -> str:
     """SQL for the runs that fit an alphabet, and the pieces that do of those that don't."""
     fits = lambda x: f"({_encoding(f"rtrim('=', {x}.text)")}) is not null"
-    pieces = "concat(" + ", ".join(_spans(p, p, 3, 0, 20, "r.text") for p in PIECES) + ")"
+    pieces = "concat(" + ", ".join(_spans(p, p, 3, 0, LEAST, "r.text") for p in PIECES) + ")"
     moved = f"transform({pieces}, p -> named_struct('start', r.start + p.start, 'end', r.start + p.end, 'kind', p.kind, 'text', p.text, 'value', p.value))"
     return f"flatten(transform({runs}, r -> if({fits('r')}, array(r), array_distinct(filter({moved}, y -> {fits('y')})))))"
 
 
+def model_tables() -> tuple[str, list[int], list[float], list[float], list[float]]:
+    """The model's letters, the kind of each, the logarithm of its share in its kind, and those of the kinds and of the cases."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789" + MARKS
+    kinds = [0 if c in "aeiou" else 1 if c.isalpha() else 2 if c.isdigit() else 3 for c in letters]
+    shares = [(1 - EVEN) * SHARES[i] / sum(SHARES) + EVEN / 26 if i < 26 else 1.0 for i in range(len(letters))]
+    of_kind = [sum(p for p, k in zip(shares, kinds, strict=True) if k == kind) for kind in range(4)]
+    inside = [math.log(p / of_kind[k]) for p, k in zip(shares, kinds, strict=True)]
+    return letters, kinds, inside, [math.log(p) for row in KINDS_AFTER for p in row], [math.log(x) for x in (SAME_CASE, 1 - SAME_CASE, LOWER_FIRST, 1 - LOWER_FIRST)]
+
+
+def _written(s: str) -> str:
+    """SQL for the logarithm of a run's likelihood as a written name."""
+    letters, kinds, inside, after, cases = model_tables()
+    same, change, low_first, high_first = cases
+    numbers = lambda x, kind: "array(" + ", ".join(f"{v!r}{kind}" for v in x) + ")"
+    rows = f"""transform(split({s}, ''), x -> transform(array(instr('{letters}', lower(x)) - 1),
+        i -> named_struct('k', get({numbers(kinds, "")}, i), 'p', get({numbers(inside, "D")}, i), 'u', if(i >= 26, 2, if(x = lower(x), 0, 1))))[0])"""
+    case = f"if(x.u = 2, 0D, if(a.u = 2, if(x.u = 0, {low_first!r}D, {high_first!r}D), if(a.u = x.u, {same!r}D, {change!r}D)))"
+    return f"""aggregate({rows}, named_struct('l', 0D, 'k', 4, 'u', 2),
+        (a, x) -> named_struct('l', a.l + get({numbers(after, "D")}, a.k * 4 + x.k) + x.p + {case}, 'k', x.k, 'u', x.u), a -> a.l)"""
+
+
 def _tested(candidate: str = "c") -> str:
     """SQL for the battery's verdict on one candidate: a struct of encoding, band, bin and whether the gates are passed."""
     s = f"rtrim('=', {candidate}.text)"
@@ -110,10 +138,7 @@ def _tested(candidate: str = "c") -> str:
     sums = """aggregate(e.v, named_struct('n', 0D, 's', 0D, 'ss', 0D, 'sp', 0D, 'high', 0D, 'runs', 0D, 'prev', cast(null as int)),
         (a, x) -> named_struct('n', a.n + 1, 's', a.s + x, 'ss', a.ss + x * x, 'sp', a.sp + coalesce(a.prev * x, 0), 'high', a.high + if(2 * x >= e.k, 1, 0),
             'runs', a.runs + if(a.prev is null or (2 * x >= e.k) <> (2 * a.prev >= e.k), 1, 0), 'prev', x))"""
-    pairs = lambda v: f"aggregate(array_distinct({v}), 0D, (a, x) -> a + power(size(filter({v}, y -> y = x)), 2))"
-    # as written language has it, a letter's cases are one
-    folded = "if(startswith(e.encoding, 'letters'), " + _bind("transform(e.v, x -> if(x < 52, x % 26, x))", "w", pairs("w")) + ", f.sq)"
-    # the three tests of randomness
+    squares = "aggregate(split(e.letters, ''), 0D, (a, x) -> a + power(length(e.s) - length(replace(e.s, x, '')), 2))"
     chi = "(e.k * f.sq / f.n - f.n - (e.k - 1)) / sqrt(2 * (e.k - 1) * (1 - 1 / f.n))"
     low = "(f.n - f.high)"
     mean_runs = f"(1 + 2 * f.high * {low} / f.n)"
@@ -121,22 +146,22 @@ def _tested(candidate: str = "c") -> str:
     runs = f"if({var_runs} > 0, abs(f.runs - {mean_runs}) / sqrt({var_runs}), 99D)"
     var = "(f.ss / f.n - f.s * f.s / f.n / f.n)"
     serial = f"if({var} > 0, abs((f.sp / (f.n - 1) - f.s * f.s / f.n / f.n) / {var}) * sqrt(f.n), 99D)"
-    # written language
-    ic = f"(({folded} - f.n) / (f.n * (f.n - 1)))"
-    text_sd = f"sqrt(4 * {CUBES - COINCIDENCE**2}D / f.n + 2 * {COINCIDENCE - COINCIDENCE**2}D / (f.n * f.n))"
+    # -log10 of the p-value
+    less = f"(-f.n * ln(e.k) - {math.log(len(ALPHABETS))!r}D - {_written('e.s')}) / ln(10D)"
     verdict = f"""named_struct('encoding', e.encoding, 'band', concat(e.encoding, ':', cast(floor(log2(f.n) * 2) as string)),
-        'bin', {_bind(f"if(e.encoding = 'upperhex', power({HEX_SHARE}D, size(filter(e.v, x -> x >= 10))), {_upper('t')})", "p", f"cast(least(floor(-log10(greatest(p, 1e-300D)) / {BIN}D), {BINS - 1}) as int)").replace("t)", "t)")},
+        'bin', cast(least(greatest(floor({less} / {BIN}D), 0), {BINS - 1}) as int),
         'gate', {_upper("g.chi")} >= {GATE}D and 2 * {_upper("g.runs")} >= {GATE}D and 2 * {_upper("g.serial")} >= {GATE}D)"""
-    verdict = _bind(f"({COINCIDENCE}D - {ic}) / {text_sd}", "t", _bind(f"named_struct('chi', {chi}, 'runs', {runs}, 'serial', {serial})", "g", verdict))
-    with_sums = _bind(sums, "a", _bind(f"named_struct('n', a.n, 's', a.s, 'ss', a.ss, 'sp', a.sp, 'high', a.high, 'runs', a.runs, 'sq', {pairs('e.v')})", "f", verdict))
-    indices = _bind(f"named_struct('encoding', e.encoding, 'k', length({letters}), 'v', transform(split(s, ''), x -> instr({letters}, x) - 1))", "e", with_sums)
-    return _bind(s, "s", _bind(f"named_struct('encoding', {_encoding('s')})", "e", f"if(e.encoding is null, null, {indices})"))
+    verdict = _bind(f"named_struct('chi', {chi}, 'runs', {runs}, 'serial', {serial})", "g", verdict)
+    with_sums = _bind(sums, "a", _bind(f"named_struct('n', a.n, 's', a.s, 'ss', a.ss, 'sp', a.sp, 'high', a.high, 'runs', a.runs, 'sq', {squares})", "f", verdict))
+    indices = _bind("named_struct('encoding', e.encoding, 's', s, 'letters', e.letters, 'k', length(e.letters), 'v', transform(split(s, ''), x -> instr(e.letters, x) - 1))", "e", with_sums)
+    with_letters = _bind(f"named_struct('encoding', e.encoding, 'letters', {letters})", "e", indices)
+    return _bind(s, "s", _bind(f"named_struct('encoding', {_encoding('s')})", "e", f"if(e.encoding is null, null, {with_letters})"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """`docs` with base (spans of the three patterns) and tested (candidates that have an encoding, with band, bin and gate)."""
     base = F.concat(*(F.expr(_spans(*x)) for x in ((ASSIGN, ASSIGN_LONG, 0, 2, 12), (ACCESS, ACCESS, 1, 0, 18), (HEX, HEX, 2, 0, 16))))
-    out = docs.withColumn("_text", text_or_empty()).withColumn("base", base).withColumn("_found", F.expr(_spans(CANDIDATE, CANDIDATE, 3, 0, 20)))
+    out = docs.withColumn("_text", text_or_empty()).withColumn("base", base).withColumn("_found", F.expr(_spans(CANDIDATE, CANDIDATE, 3, 0, LEAST)))
     out = out.withColumn("_found", F.expr(_candidates()))
     out = out.withColumn("base", F.expr("array_sort(transform(base, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end)))"))
     tested = f"filter(transform(_found, c -> named_struct('start', c.start, 'end', c.end, 'test', {_tested()})), c -> c.test is not null)"
@@ -149,8 +174,7 @@ def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[str, int]:
     w = Window.partitionBy("band")
     up = F.sum("n").over(w.orderBy(F.desc("bin")))
     edge = F.pow(F.lit(10.0), -F.col("bin") * BIN)
-    same_length = F.sum("n").over(Window.partitionBy(F.substring_index("band", ":", -1)))
-    m = F.when(F.col("band").startswith("upperhex:"), same_length).otherwise(F.sum("n").over(w))
+    m = F.sum("n").over(w)
     ok = counts.withColumn("up", up).withColumn("m", m).where(edge <= F.lit(fdr) * F.col("up") / F.col("m"))
     return {r["band"]: r["least"] for r in ok.groupBy("band").agg(F.min("bin").alias("least")).collect()}
 
