@@ -87,29 +87,3 @@ def test_toxicity(spark, data, duck):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found)
     own = [(r["predicted"], labels[r["doc_id"]]) for r in found if r["held_out"] and r["doc_id"] in labels]
     assert sum(a == b for a, b in own) / len(own) > 0.9
-
-
-def test_pipeline(spark, data, documents):
-    import corpus_pipeline as c
-
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    columns = docs.columns
-    assert [n for n, _ in c.STAGES] == ["toxicity", "jaccard", "decontamination", "secrets", "mixing"]
-    before = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for name, stage in c.STAGES[:-1]:
-        out = stage(spark, docs, data)
-        assert out.columns == columns, name
-        kept = {r["doc_id"]: r for r in out.collect()}
-        assert set(kept) <= set(before), name
-        if name == "decontamination":
-            from gristmill.llm.winnowing import Tests, Hashes, words_of
-
-            tests, memo = Tests([tuple(r) for r in spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").collect()]), Hashes()
-            assert set(kept) == {i for i, t in before.items() if not tests.hits(words_of(t), memo)}
-        if name == "secrets":
-            assert set(kept) == set(before) and not any(re.search("[0-9a-f]{16}|AKIA[A-Z0-9]{14}", r["text"]) for r in kept.values())
-            assert all(r["n_chars"] == len(r["text"]) for r in kept.values())
-        docs = spark.createDataFrame([tuple(r) for r in kept.values()], docs.schema)
-        before = {i: r["text"] for i, r in kept.items()}
-    mixed = c.STAGES[-1][1](spark, docs, data).collect()
-    assert {r["doc_id"] for r in mixed} == set(before)
