@@ -40,7 +40,7 @@ def coerce(column: Column, dtype: T.DataType, kind: str) -> Column:
             trimmed = F.trim(column)
             zoned = trimmed.rlike(r"([zZ]|T.*[+-]\d{2}:?\d{2})$")
             naive = F.convert_timezone(F.lit("UTC"), F.current_timezone(), trimmed.try_cast("timestamp_ntz")).cast("timestamp")
-            return F.when(trimmed.rlike(r"^\d+$"), trimmed.try_cast("long")).when(zoned, F.unix_millis(trimmed.try_cast("timestamp"))).otherwise(F.unix_millis(naive))
+            return F.when(trimmed.rlike(r"^-?\d+$"), trimmed.try_cast("long")).when(zoned, F.unix_millis(trimmed.try_cast("timestamp"))).otherwise(F.unix_millis(naive))
         if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
             return F.unix_millis(F.convert_timezone(F.lit("UTC"), F.current_timezone(), column.cast("timestamp_ntz")).cast("timestamp"))
         return F.unix_millis(column) if isinstance(dtype, T.TimestampType) else F.lit(None).cast("long")
@@ -61,7 +61,7 @@ def coerce_literal(value: Any, kind: str) -> Any:
     if kind in _KINDS:
         return float(value.strip()) if isinstance(value, str) and re.match(NUMERIC, value.strip()) else value
     if kind == "DateTime":
-        if isinstance(value, str) and value.strip().isdigit():
+        if isinstance(value, str) and re.fullmatch(r"-?[0-9]+", value.strip()):
             return int(value.strip())
         try:
             moment = dates.instant(value, "UTC")

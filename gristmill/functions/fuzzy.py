@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from typing import Any
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ def max_distance(length: int, config: Any = True) -> int:
 
 
 def words(text: str) -> list[str]:
-    return [w for w in re.split(r"[^\w]|_", text.lower()) if w]
+    return [w for w in regex.split(_SPLIT, text.lower()) if w]
 
 
 def fuzzy_contains(column: Column, needle: str, config: Any = True) -> Column:
@@ -38,9 +38,9 @@ def fuzzy_contains(column: Column, needle: str, config: Any = True) -> Column:
     own = F.filter(F.split(low, _SPLIT), lambda w: w != "")
 
     def near(word: str) -> Column:
-        most = 0 if word.isdigit() else max_distance(len(word), config)
+        most = 0 if regex.fullmatch("[0-9]+", word) else max_distance(len(word), config)
         if most == 0:
             return F.array_contains(own, word)
-        return F.exists(own, lambda w: ~w.rlike(r"^\d+$") & (F.abs(F.length(w) - len(word)) <= most) & (F.levenshtein(w, F.lit(word), most) >= 0) | (w == word))
+        return F.exists(own, lambda w: (F.abs(F.length(w) - len(word)) <= most) & (F.levenshtein(w, F.lit(word), most) >= 0) | (w == word))
 
     return F.when(exact, F.lit(True)).otherwise(reduce(Column.__and__, map(near, wanted)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal
@@ -261,14 +262,57 @@ def _positive(op: str, rule: FieldRule, c: Value, rhs: Value, options: EngineOpt
     return reduce(Column.__and__, not_nan(c, x), inside)
 
 
+#: The evaluator's line ends and white space, and what its escapes mean where the JVM's mean something else.
+_ENDS = r"\n\r\u2028\u2029"
+_BLANKS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+_ESCAPES = {"v": r"\x0B", "0": r"\x00", "b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", "B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))", "s": f"[{_BLANKS}]", "S": f"[^{_BLANKS}]"}
+_SAME = "dDwWfnrtxuk123456789"
+
+
 def java_pattern(pattern: str | dict) -> str:
-    """Flags become inline ones. A pattern is a text, or {source, flags}."""
-    if isinstance(pattern, str):
-        return pattern
-    flags = "".join(f for f in "ims" if f in pattern.get("flags", ""))
-    if "\\c" in pattern["source"]:
-        raise RuleError("control escapes have no counterpart")
-    return (f"(?{flags})" if flags else "") + pattern["source"]
+    """A pattern, a text or {source, flags}, as the JVM has to read it to match what the evaluator does."""
+    source, flags = (pattern, "") if isinstance(pattern, str) else (pattern["source"], pattern.get("flags", ""))
+    out, i, inside = [], 0, False
+    while i < len(source):
+        c = source[i]
+        i += 1
+        if c == "\\" and i < len(source):
+            e = source[i]
+            i += 1
+            if e == "c":
+                raise RuleError("control escapes have no counterpart")
+            if inside and e == "b":
+                out.append(r"\x08")
+            elif e in "sS" or e in _ESCAPES and not (inside and e in "B"):
+                out.append(_BLANKS if inside and e == "s" else _ESCAPES[e])
+            elif e in _SAME or e in "pP" and "u" in flags or not e.isalnum():
+                out.append("\\" + e)
+            else:
+                out.append(e)
+        elif inside:
+            inside = c != "]"
+            out.append("\\" + c if c in "[&" else c)
+        elif c == "[":
+            if source.startswith(("]", "^]"), i):  # nothing, anything
+                out.append("(?!)" if source[i] == "]" else "(?s:.)")
+                i += 1 + (source[i] == "^")
+                continue
+            inside = True
+            out.append(c)
+            if source.startswith("^", i):
+                out.append("^")
+                i += 1
+        elif c == "$":
+            out.append(rf"(?=[{_ENDS}]|\z)" if "m" in flags else r"\z")
+        elif c == "^":
+            out.append(f"(?:^|(?<=[{_ENDS}]))" if "m" in flags else c)
+        elif c == ".":
+            out.append("(?s:.)" if "s" in flags else f"[^{_ENDS}]")
+        elif c == "{" and not re.match(r"\d+(,\d*)?\}", source[i:]):
+            out.append(r"\{")
+        else:
+            out.append(c)
+    return ("(?iu)" if "i" in flags else "") + "".join(out)
 
 
 def moment(v: Value, zone: str) -> Column:
