@@ -81,6 +81,10 @@ def spec(value: Any) -> dict:
     return {"where": value}
 
 
+#: No path of relations: what a layer says of a model there are its defaults alone.
+OFF_PATH = ("",)
+
+
 def nodes_at(lens: Lens | Narrowing, model: str, path: tuple[str, ...]) -> Iterator[tuple[int, dict]]:
     """Each layer's defaults for the model, then its node at the path."""
     for i, n in enumerate(chain(lens)[1]):
@@ -93,10 +97,11 @@ def nodes_at(lens: Lens | Narrowing, model: str, path: tuple[str, ...]) -> Itera
             yield i, node
 
 
-def resolve_visit(lens: Lens | Narrowing, path: tuple[str, ...] = ()) -> Visit:
+def resolve_visit(lens: Lens | Narrowing, path: tuple[str, ...] = (), model_name: str | None = None) -> Visit:
+    """The visit at a path, or with `model_name` at OFF_PATH."""
     base, layers = chain(lens)
-    model = base.schema.model(base.model)
-    for name in path:
+    model = base.schema.model(model_name or base.model)
+    for name in () if model_name else path:
         if name not in model.relations:
             raise RuleError(f"{model.name} has no relation {name}")
         model = base.schema.model(model.relations[name].target)

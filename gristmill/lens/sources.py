@@ -39,8 +39,9 @@ def guards(lens: Lens | Narrowing, at: tuple[str, ...], paths: list[str], strict
 
 
 def natural(column: Column) -> Column:
-    """A sort key in which numbers inside texts order by value."""
-    return F.lower(F.regexp_replace(F.regexp_replace(column.cast("string"), r"(\d+)", "00000000000000000000$1"), r"0*(\d{20})(?!\d)", "$1"))
+    """A sort key in the order of English, in which numbers inside texts order by value."""
+    padded = F.regexp_replace(F.regexp_replace(column.cast("string"), r"(\d+)", "00000000000000000000$1"), r"0*(\d{20})(?!\d)", "$1")
+    return F.collate(padded, "en")
 
 
 def _options(df: DataFrame, value: Column, many: bool, label: Column | None, axes: list[Column]) -> DataFrame:
@@ -50,10 +51,14 @@ def _options(df: DataFrame, value: Column, many: bool, label: Column | None, axe
     return rows.where(F.col("value").isNotNull()).groupBy("groups", "value").agg(F.min("label").alias("label"))
 
 
-def ordered(options: DataFrame) -> DataFrame:
+def order_keys() -> list[Column]:
     """Ungrouped options first, then by group, then by label or value with numbers by value."""
     groups = F.transform(F.coalesce("groups", F.array().cast("array<string>")), natural)
-    return options.orderBy(F.col("groups").isNotNull(), groups, natural(F.coalesce("label", F.col("value").cast("string"))), F.col("value"))
+    return [F.col("groups").isNotNull(), groups, natural(F.coalesce("label", F.col("value").cast("string"))), F.col("value")]
+
+
+def ordered(options: DataFrame) -> DataFrame:
+    return options.orderBy(*order_keys())
 
 
 def option_frames(lens: Lens | Narrowing, catalog: Catalog, options: EngineOptions | None = None) -> dict[str, DataFrame]:

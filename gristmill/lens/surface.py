@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from gristmill.lens.policy import Lens, Narrowing, chain, resolve_visit
+from gristmill.lens.policy import OFF_PATH, Lens, Narrowing, chain, nodes_at, resolve_visit
 from gristmill.rules import RuleError
 
 
@@ -29,32 +29,40 @@ def project_by_path(lens: Lens | Narrowing) -> dict[str, dict[str, Any]]:
     return out
 
 
-def exposed_surface(lens: Lens | Narrowing, option_values: dict[str, list[Any]] | None = None, depth: int = 6) -> dict[str, dict[str, Any]]:
-    """By model, the union of what its visits show, over all paths that can be reached without passing a model twice.
+def exposed_surface(lens: Lens | Narrowing, option_values: dict[str, list[Any]] | None = None) -> dict[str, dict[str, Any]]:
+    """By model, the union of what its visits show. Relations that some layer narrows are followed by path, others to the model as its
+    defaults leave it, once; so every reachable model is met, however far.
 
-    option_values: by 'Model.field', values found by `option_frames`; they replace a field's own.
+    option_values: by 'Model.field', options found by `option_frames`; they replace a field's own. One is a value, or {value, label, groups};
+    of options with equal groups and value the later counts. A field whose options are grouped by different axes on different paths raises.
     """
     base = chain(lens)[0]
     out: dict[str, dict[str, Any]] = {}
-    todo: list[tuple[tuple[str, ...], frozenset[str]]] = [((), frozenset({base.model}))]
+    todo: list[tuple[str, tuple[str, ...], bool]] = [(base.model, (), True)]
+    met: set[tuple] = set()
     while todo:
-        path, passed = todo.pop(0)
-        try:
-            v = resolve_visit(lens, path)
-        except RuleError:
+        model, path, declared = todo.pop(0)
+        if (key := (model, path if declared else None)) in met:
             continue
-        own = out.setdefault(v.model.name, {"fields": {}, "relations": {}})
+        met.add(key)
+        v = resolve_visit(lens, path) if declared else resolve_visit(lens, OFF_PATH, model)
+        narrowed = {name for _, node in nodes_at(lens, model, path) for name in node.get("relations", {})} if declared else set()
+        own = out.setdefault(model, {"fields": {}, "relations": {}})
         for name in sorted(v.visible):
             f = v.model.fields[name]
             entry = own["fields"].setdefault(name, {"kind": f.kind, "many": f.many})
-            values = (option_values or {}).get(f"{v.model.name}.{name}", v.enums.get(name))
-            if values is not None:
+            found = (option_values or {}).get(f"{model}.{name}")
+            if found is not None:
+                options = [o if isinstance(o, dict) else {"value": o} for o in found]
+                entry["options"] = list({(tuple(o.get("groups") or ()), o["value"]): o for o in [*entry.get("options", ()), *options]}.values())
+                entry["values"] = list(dict.fromkeys(o["value"] for o in entry["options"]))
+            elif (values := v.enums.get(name)) is not None:
                 entry["values"] = list(dict.fromkeys([*entry.get("values", []), *values]))
+            if axes := v.sources.get(name, {}).get("groupBy"):
+                if entry.setdefault("groupBy", axes) != axes:
+                    raise RuleError(f"{model}.{name} is grouped by {entry['groupBy']} and by {axes}")
         for name in sorted(v.relations):
             target = v.model.relations[name].target
             own["relations"][name] = target
-            if target not in passed and len(path) < depth:
-                todo.append(((*path, name), passed | {target}))
-    for own in out.values():  # relations and bridges to models that aren't reached are left out
-        own["relations"] = {k: t for k, t in own["relations"].items() if t in out}
+            todo.append((target, (*path, name), True) if name in narrowed else (target, (), False))
     return out
