@@ -24,7 +24,7 @@ from gristmill.rules import MISSING, AggregateRule, All, Any_, ArrayRule, DateRu
 class Relations(Protocol):
     """What a model's planner answers to the compiler."""
 
-    def to_one(self, path: str) -> Value | None: ...
+    def to_one(self, path: str, hint: str) -> Value | None: ...
     def many(self, rule: ArrayRule | AggregateRule) -> Verdict | None: ...
 
 
@@ -58,23 +58,39 @@ def inside(v: Value, name: str) -> Value:
 
 
 #: How a JSON value is read, by what it is compared with.
-_JSON_TYPES = {"number": ("double", T.DoubleType()), "boolean": ("boolean", T.BooleanType())}
+_JSON_TYPES = {"number": ("double", T.DoubleType()), "boolean": ("boolean", T.BooleanType()), "array": ("array<variant>", T.ArrayType(T.VariantType())), "variant": ("variant", T.VariantType())}
+
+
+def json_path(names: list[str]) -> str:
+    """Steps into a JSON value. A key stands in the quotes that it doesn't hold."""
+    steps = []
+    for n in names:
+        if "'" in n and '"' in n:
+            raise RuleError(f"{n}: a key may not hold both kinds of quotes")
+        steps.append(f"[{n}]" if n.isdigit() else f'["{n}"]' if "'" in n else f"['{n}']")
+    return "$" + "".join(steps)
+
+
+def in_json(v: Value, names: list[str], hint: str) -> Value:
+    """A part of a JSON text or variant, read by `hint`. A JSON null is NULL, save as a variant."""
+    kind, dtype = _JSON_TYPES.get(hint, ("string", T.StringType()))
+    variant = F.try_parse_json(v.column) if isinstance(v.type, T.StringType) else v.column
+    return Value(F.try_variant_get(variant, json_path(names), kind), dtype)
 
 
 def resolve(frame: Frame, path: str, hint: str = "text") -> Value:
     """A dotted path: columns, fields, map keys, array indices; the rest of a JSON text or variant is read by `hint`."""
-    if frame.relations is not None and (found := frame.relations.to_one(path)) is not None:
+    if frame.relations is not None and (found := frame.relations.to_one(path, hint)) is not None:
         return found
     names = path.split(".")
+    if frame.column is not None and isinstance(frame.schema, T.VariantType):
+        return in_json(Value(frame.column, frame.schema), names, hint)
     v = frame.top(names[0])
     for i, name in enumerate(names[1:], 1):
         if isinstance(v.type, (T.StringType, T.VariantType)):
-            kind, dtype = _JSON_TYPES.get(hint, ("string", T.StringType()))
-            variant = F.try_parse_json(v.column) if isinstance(v.type, T.StringType) else v.column
-            steps = "".join(f"[{n}]" if n.isdigit() else "['" + n.replace("'", "\\'") + "']" for n in names[i:])
-            return Value(F.try_variant_get(variant, f"${steps}", kind), dtype)
+            return in_json(v, names[i:], hint)
         v = inside(v, name)
-    return v
+    return in_json(v, [], hint) if hint == "array" and isinstance(v.type, (T.StringType, T.VariantType)) or isinstance(v.type, T.VariantType) and hint != "variant" else v
 
 
 class Compiler:
@@ -103,6 +119,8 @@ class Compiler:
             case FieldRule():
                 rhs = None if node.rhs == Source() else self.rhs(node.rhs, frame)
                 hint = rhs.family if rhs is not None and not isinstance(rhs.literal, (list, tuple)) else family(literal(rhs.literal[0]).type) if rhs is not None and rhs.literal else "text"
+                if node.operator in ("exists", "notExists") and self.options.profile != "sql":
+                    hint = "variant"  # a JSON null exists
                 return scalar.field_rule(node, resolve(frame, node.path, hint), rhs, self.options)
         raise RuleError(f"unknown rule {node!r}")
 
@@ -184,7 +202,7 @@ class Compiler:
             raise RuleError("an array rule without a field judges a whole table: use check_all")
         if frame.relations is not None and (found := frame.relations.many(rule)) is not None:
             return found
-        v = resolve(frame, rule.path)
+        v = resolve(frame, rule.path, "array")
         if v.family != "array":
             return Verdict(F.lit(False), F.lit(rule.error or f"{rule.path} is no array"), sure=True)
         rule = extremal(rule)
@@ -197,7 +215,7 @@ class Compiler:
             return self._bad_data(null, Verdict(ok, quantified(rule)), f"{rule.path} is no array")
         if not isinstance(element, (T.StructType, T.MapType, T.ArrayType, T.VariantType)):
             vacuous = quantifier(rule, F.lit(0), F.lit(0))
-            verdict = Verdict(F.when(F.size(arr) > 0, F.lit(False)).otherwise(vacuous), F.lit(rule.error or f"{rule.path} holds plain values; compare them with contains or in"))
+            verdict = Verdict(F.when(F.size(arr) > 0, F.lit(False)).otherwise(vacuous), F.lit(rule.error or self._plain(rule)))
             return self._bad_data(null, verdict, f"{rule.path} is no array")
         holds = lambda x: self.compile(rule.condition, Frame(element, x)).strict()
         matched = F.size(F.filter(arr, holds))
@@ -207,23 +225,33 @@ class Compiler:
             ok = F.exists(arr, holds) if op == "any" else ~F.exists(arr, holds)
         else:
             ok = quantifier(rule, matched, F.size(arr))
-        return self._bad_data(null, Verdict(ok, quantified(rule, matched, F.size(arr) - matched)), f"{rule.path} is no array")
+        verdict = Verdict(ok, quantified(rule, matched, F.size(arr) - matched))
+        if isinstance(element, T.VariantType):  # a JSON array of plain values only, which is known by its values alone
+            plain = (F.size(arr) > 0) & ~F.exists(arr, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
+            verdict = Verdict(F.when(plain, F.lit(False)).otherwise(ok), F.when(plain, F.lit(rule.error or self._plain(rule))).otherwise(verdict.error))
+        return self._bad_data(null, verdict, f"{rule.path} is no array")
+
+    @staticmethod
+    def _plain(rule: ArrayRule) -> str:
+        return f"{rule.path} holds plain values; compare them with contains or in"
 
     def aggregate(self, rule: AggregateRule, frame: Frame) -> Verdict:
         if frame.relations is not None and (found := frame.relations.many(rule)) is not None:
             return found
-        v = resolve(frame, rule.path)
+        v = resolve(frame, rule.path, "array")
         if v.family != "array":
             return Verdict(F.lit(False), F.lit(rule.error or f"{rule.path} is no array"), sure=True)
         element, arr = v.type.elementType, self._elements(v, rule.window)
         if rule.condition is not None:
             arr = F.filter(arr, lambda x: self.compile(rule.condition, Frame(element, x)).strict())
-        item = (lambda x: resolve(Frame(element, x), rule.item, "number")) if rule.item else (lambda x: Value(x, element))
-        kind = []
+        hint = "variant" if self.options.profile != "sql" else "number"
+        item = lambda x: resolve(Frame(element, x), rule.item, hint) if rule.item else Value(x, element)
 
         def number(x: Column) -> Column:
             value = item(x)
-            kind.append(value.family)
+            if isinstance(value.type, T.VariantType):  # of a JSON value, a number only; the sql profile casts a text
+                read = F.try_variant_get(value.column, "$", "double")
+                return read if self.options.profile == "sql" else F.when(F.schema_of_variant(value.column).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), read)
             return value.column.cast("double") if value.family == "number" else F.lit(None).cast("double")
 
         values = F.transform(arr, number)

@@ -55,14 +55,14 @@ class Planner:
             at = self.catalog.schema.model(found[-1][1].target)
         return found, names, at.name
 
-    def to_one(self, path: str) -> Value | None:
+    def to_one(self, path: str, hint: str = "text") -> Value | None:
         hops, rest, target = self.hops(path)
         if not hops:
             return None
         if not rest:
             raise RuleError(f"{path} is a table")
         column, schema = self._join(hops), self.catalog.table(target).schema
-        return resolve(Frame(schema, F.col(f"`{column}`")), ".".join(rest))
+        return resolve(Frame(schema, F.col(f"`{column}`")), ".".join(rest), hint)
 
     def _join(self, hops: list[tuple[str, Relation]]) -> str:
         """The column that holds the row at the end of a chain of relations; each chain is joined once."""
@@ -144,8 +144,8 @@ class Planner:
             link = self._chain(child, keys)
             on = [F.col(f"`{b}`") == link[f"{child.prefix}_l{i}"] for i, (_, b) in enumerate(last.keys)]
             rows = rows.join(link, on)
-        if asked:  # the parent's columns that the conditions ask for
-            own = self.df.select(*[F.col(f"`{a}`").alias(f"{child.prefix}_p{i}") for i, (a, _) in enumerate(first.keys)], *[resolve(self.frame, p).column.alias(n) for p, n in asked.items()]).dropDuplicates([f"{child.prefix}_p{i}" for i in range(len(first.keys))])
+        if asked:  # the parents' values that the conditions ask for: parents that share a key may differ in them
+            own = self.df.select(*[F.col(f"`{a}`").alias(f"{child.prefix}_p{i}") for i, (a, _) in enumerate(first.keys)], *[resolve(self.frame, p).column.alias(n) for p, n in asked.items()]).distinct()
             rows = rows.join(own, [F.col(k) == own[f"{child.prefix}_p{i}"] for i, k in enumerate(keys)])
         rows = planner.apply(rows)
         if keep is not None:
@@ -154,19 +154,21 @@ class Planner:
         if w.order or w.skip is not None or w.take is not None:
             tie = [F.col(f"`{c}`") for c, t in ((f.name, f.dataType) for f in planner.frame.schema.fields) if not isinstance(t, (T.MapType, T.VariantType))]
             order = [c.desc_nulls_first() if d == "desc" else c.asc_nulls_last() for c, d in orders]
-            number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *tie))
+            number = F.row_number().over(Window.partitionBy(*keys, *asked.values()).orderBy(*order, *tie))
             rows = rows.withColumn(f"{child.prefix}_r", number)
             if w.skip:
                 rows = rows.where(F.col(f"{child.prefix}_r") > w.skip)
             if w.take is not None:
                 rows = rows.where(F.col(f"{child.prefix}_r") <= (w.skip or 0) + w.take)
-        rows = rows.select(*keys, *[ok.alias(n) for n, ok in oks], *[v.alias(n) for n, v, _ in values])
+        rows = rows.select(*keys, *asked.values(), *[ok.alias(n) for n, ok in oks], *[v.alias(n) for n, v, _ in values])
         made = [F.count(F.lit(1)).alias(f"{child.prefix}_n"), *[F.count_if(F.col(n)).alias(n) for n, _ in oks]]
         for n, _, condition in values:
             counted = F.col(condition) if condition else F.lit(True)
             made += [F.sum(F.when(counted, F.col(n))).alias(n), F.count_if(counted & (F.col(n).isNull() | F.isnan(n) | (F.abs(F.col(n)) == float("inf")))).alias(f"{n}_bad")]
-        grouped = rows.groupBy(*keys).agg(*made)
-        return df.join(grouped, [F.col(f"`{a}`") == grouped[k] for k, (a, _) in zip(keys, first.keys, strict=True)], "left").drop(*keys)
+        grouped = rows.groupBy(*keys, *asked.values()).agg(*made)
+        on = [F.col(f"`{a}`") == grouped[k] for k, (a, _) in zip(keys, first.keys, strict=True)]
+        on += [resolve(self.frame, p).column.eqNullSafe(grouped[n]) for p, n in asked.items()]
+        return df.join(grouped, on, "left").drop(*keys, *asked.values())
 
     def _chain(self, child: _Child, keys: list[str]) -> DataFrame:
         rows = None

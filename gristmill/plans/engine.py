@@ -7,13 +7,14 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gristmill import bindings
-from gristmill.operators.compiler import Compiler, Frame, quantified, quantifier
+from gristmill.operators.compiler import Compiler, Frame, quantified, quantifier, resolve
 from gristmill.operators.relational import Planner
 from gristmill.operators.scalar import Verdict
 from gristmill.options import EngineOptions, get_options
-from gristmill.rules import All, Any_, ArrayRule, Literal, Node, RuleError, nodes
+from gristmill.rules import All, Any_, ArrayRule, If, Literal, Node, RuleError, nodes
 from gristmill.sources.schema import Catalog, Model, SchemaSet, infer_model
 
 
@@ -80,10 +81,18 @@ class Engine:
         return df.join(rows, on, "left_semi" if part.operator in ("any", "notEmpty") else "left_anti")
 
     def check_all(self, source: DataFrame | str, rule: Any, bindings: dict | None = None, context: dict | None = None, **options: Any) -> DataFrame:
-        """One row, rule_ok and rule_error, for a rule about the whole table: its leaves are array rules without a field."""
+        """One row, rule_ok and rule_error, for a rule about the whole table: its leaves are array rules without a field.
+
+        All leaves share one aggregation; one with an order, skip or take counts the first rows of the table apart. Ties, and a window
+        without an order, go by all columns in turn.
+        """
         planner, node = self._planned(source, rule, bindings, context, options)
         counts: list[Column] = [F.count(F.lit(1)).alias("_n")]
-        frame = Frame(planner.df.schema, None, planner)
+        frame, firsts = Frame(planner.df.schema, None, planner), []
+
+        def counted(flag: Column, kind: str) -> str:
+            counts.append(F.count_if(flag).alias(f"_{kind}{len(counts)}"))
+            return f"_{kind}{len(counts) - 1}"
 
         def verdict(n: Node) -> Any:
             match n:
@@ -93,16 +102,33 @@ class Engine:
                     return All(tuple(verdict(p) for p in parts), error)
                 case Any_(parts, error):
                     return Any_(tuple(verdict(p) for p in parts), error)
-                case ArrayRule() if n.path is None and not n.window:
-                    if n.condition is not None:
-                        counts.append(F.count_if(planner.compiler.compile(n.condition, frame).strict()).alias(f"_c{len(counts)}"))
-                    return (n, len(counts) - 1 if n.condition is not None else None)
+                case If(test, then, other):
+                    return If(verdict(test), verdict(then), verdict(other) if other is not None else None)
+                case ArrayRule() if n.path is None:
+                    w = n.window
+                    keep = planner.compiler.compile(w.filter, frame).strict() if w.filter is not None else F.lit(True)
+                    hit = planner.compiler.compile(n.condition, frame).strict() if n.condition is not None else F.lit(True)
+                    own = ("_n" if w.filter is None else counted(keep, "f"), counted(keep & hit, "c"))
+                    if not w.skip and w.take is None:
+                        return n, *map(F.col, own)
+                    order = [(resolve(frame, p).column, d) for p, d in w.order]
+                    order = [c.desc_nulls_first() if d == "desc" else c.asc_nulls_last() for c, d in order]
+                    order += [F.col(f"`{f.name}`") for f in planner.df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+                    firsts.append((keep, hit, order, w))
+                    i = len(firsts) - 1
+                    if w.take is not None:
+                        return n, F.col(f"_t{i}"), F.col(f"_h{i}")
+                    return n, F.col(own[0]) - F.col(f"_t{i}"), F.col(own[1]) - F.col(f"_h{i}")  # all but those skipped
             raise RuleError("a whole table is judged by array rules without a field")
 
         tree = verdict(node)
-        one = planner.apply().agg(*counts)
-        compiler = _Judge(planner.options, Frame(one.schema))
-        v = compiler.compile(tree)
+        rows = planner.apply()
+        one = rows.agg(*counts).withColumn("_one", F.lit(1))
+        for i, (keep, hit, order, w) in enumerate(firsts):
+            first = rows.where(keep).withColumn("_hit", hit).orderBy(*order)
+            first = first.offset(w.skip or 0).limit(w.take) if w.take is not None else first.limit(w.skip)
+            one = one.join(first.agg(F.count(F.lit(1)).alias(f"_t{i}"), F.count_if("_hit").alias(f"_h{i}")).withColumn("_one", F.lit(1)), "_one")
+        v = _Judge(planner.options, Frame(one.schema)).compile(tree)
         return one.select(v.strict().alias("rule_ok"), F.when(~v.strict(), v.error).alias("rule_error"))
 
     def explain_rule(self, source: DataFrame | str, rule: Any, **options: Any) -> str:
@@ -127,9 +153,7 @@ class Engine:
 class _Judge(Compiler):
     def compile(self, node: Any, frame: Frame | None = None):
         if isinstance(node, tuple):
-            rule, i = node
-            n = F.col("_n")
-            matched = F.col(f"_c{i}") if i is not None else n
+            rule, n, matched = node
             return Verdict(quantifier(rule, matched, n), quantified(rule, matched, n - matched), sure=True)
         return super().compile(node, frame)
 

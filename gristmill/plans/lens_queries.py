@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gristmill import bindings
 from gristmill.lens import Lens, Narrowing, apply_lens, check_rule_against_lens, describe_rule, exposed_surface, option_frames, options_from_rows, project_by_path, resolve_lens_bindings, stamp_coercions, validate_narrowing
+from gristmill.lens.sources import order_keys
 from gristmill.plans import text
 from gristmill.plans.engine import Engine
 from gristmill.streaming import rules as streams
@@ -86,6 +87,44 @@ _options(
 )
 
 
+def _ranked_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options in the order that they are shown in: numbers inside labels by value."""
+    from pyspark.sql import Window
+
+    e = _engine(spark, sf_dir)
+    frame = option_frames(Narrowing(Lens(e.catalog.schema, "nation"), {"sources": {"n_nationkey": {"label": "n_name", "groupBy": "region.r_name"}}}), e.catalog)["n_nationkey"]
+    w = Window.orderBy(*order_keys())
+    return frame.select(F.row_number().over(w).alias("turn"), F.col("groups")[0].alias("group_0"), "value", "label")
+
+
+_QUERIES["o_source_order"] = _ranked_options
+_SQL["o_source_order"] = r"SELECT row_number() OVER (ORDER BY r_name, regexp_replace(n_name, '\d+$', ''), TRY_CAST(regexp_extract(n_name, '\d+$') AS INT), n_nationkey)::INT AS turn, r_name AS group_0, n_nationkey AS value, n_name AS label FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+def _surface_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By model that a lens shows, however far it is, its rows and how many of its columns are seen."""
+    e = _engine(spark, sf_dir)
+    lens = Narrowing(Lens(e.catalog.schema, "events"), {"relations": {"user": {"picks": ["c_name", "orders", "nation"]}}}, {"models": {"lineitem": {"omits": ["part", "l_tax"]}, "region": {"omits": ["r_name"]}}})
+    parts = [e.catalog.table(m).agg(F.lit(m).alias("model"), F.count("*").alias("n"), F.lit(len(own["fields"])).cast("long").alias("seen")) for m, own in exposed_surface(lens).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_QUERIES["v_surface_rows"] = _surface_rows
+_SQL["v_surface_rows"] = " UNION ALL ".join(f"SELECT '{m}' AS model, count(*) AS n, {seen}::BIGINT AS seen FROM {m}" for m, seen in (("events", 6), ("customer", 5), ("orders", 6), ("lineitem", 10), ("supplier", 4), ("nation", 3), ("region", 1)))
+
+
+def _quoted_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _engine(spark, sf_dir)
+    e.catalog.table("events").withColumn("props", F.concat(F.lit('{"it\'s": {"b": '), F.get_json_object("props", "$.k"), F.lit("}}"))).createOrReplaceTempView("quoted_events")
+    return text.select(spark, "quoted_events", {"field": "props.it's.b", "operator": "in", "value": ["3", "7"]}, "t0.event_id", schema=e.catalog.schema, model="events")
+
+
+_QUERIES["q_quoted_step"], _SQL["q_quoted_step"] = _quoted_step, "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') IN ('3', '7')"
+
+
 def _nested_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _engine(spark, sf_dir)
     rows = e.join_bridge("nation", "customers", "customers")

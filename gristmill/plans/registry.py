@@ -111,6 +111,11 @@ _where("f_ci_global", "customer", _rule("c_mktsegment", "startsWith", "bui"), "s
 _where("f_matches", "part", _rule("p_brand", "matches", "#[12]\\d?$"), "regexp_matches(p_brand, '#[12]\\d?$')")
 _where("f_matches_flags", "part", _rule("p_brand", "matches", {"source": "BRAND#2", "flags": "i"}), "regexp_matches(p_brand, 'BRAND#2', 'i')")
 _where("f_not_matches", "part", _rule("p_brand", "notMatches", "#[12]\\d?$"), "NOT regexp_matches(p_brand, '#[12]\\d?$')")
+_ended = lambda df: df.withColumn("p_brand", F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit("\n"))).otherwise(F.concat(F.lit("Ä"), "p_brand")))
+_where("f_matches_end", "part", _rule("p_brand", "matches", "#\\d+$"), "p_size % 2 = 1", _ended)
+_where("f_matches_line", "part", _rule("p_brand", "matches", {"source": "#1\\d*$", "flags": "m"}), "regexp_matches(p_brand, '#1\\d*$')", _ended)
+_where("f_matches_fold", "part", _rule("p_brand", "matches", {"source": "^ä?BRAND#1", "flags": "i"}), "starts_with(p_brand, 'Brand#1')", _ended)
+_where("f_matches_sets", "part", _rule("p_brand", "notMatches", "[[#]1{x|[^]{9}\\s$"), "NOT regexp_matches(p_brand || CASE WHEN p_size % 2 = 0 THEN chr(10) ELSE '' END, '(.|\\n){9}\\s\\z')", _ended)
 _where("f_between_reversed", "orders", _rule("o_totalprice", "between", [200000, 100000]), "o_totalprice BETWEEN 100000 AND 200000")
 _where("f_not_between", "orders", _rule("o_totalprice", "notBetween", [100000, 200000]), "o_totalprice < 100000 OR o_totalprice > 200000")
 for _op, _cond in (("isEmpty", "{c} IS NULL OR {c} = ''"), ("notEmpty", "{c} IS NOT NULL AND {c} <> ''"), ("exists", "{c} IS NOT NULL"), ("notExists", "{c} IS NULL")):
@@ -121,11 +126,21 @@ _where("f_bind", "lineitem", {"field": "l_quantity", "operator": "equals", "bind
 _text = lambda *names: lambda df: df.withColumns({n: F.col(n).cast("string") for n in names})
 _where("f_coerce_int", "orders", _rule("o_custkey", "lessThan", "100", coerceType="Int"), "TRY_CAST(o_custkey::VARCHAR AS DOUBLE) < 100", _text("o_custkey"))
 _where("f_coerce_datetime", "orders", _rule("o_orderdate", "lessThan", "1996-01-01", coerceType="DateTime"), "o_orderdate < TIMESTAMP '1996-01-01'", _text("o_orderdate"))
+_epoch = lambda df: df.withColumn("o_orderdate", (F.unix_millis(F.col("o_orderdate").cast("timestamp")) - 800_000_000_000).cast("string"))
+for _name, _at in (("text", "-50000000000"), ("number", -50_000_000_000)):
+    _where(f"f_coerce_epoch_{_name}", "orders", _rule("o_orderdate", "lessThan", _at, coerceType="DateTime"), "epoch_ms(o_orderdate) - 800000000000 < -50000000000", _epoch)
 _flagged = lambda df: df.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "O", "true").when(F.col("o_orderstatus") == "F", "false").otherwise("True"))
 _where("f_coerce_bool", "orders", _rule("o_orderstatus", "equals", "true", coerceType="Boolean"), "o_orderstatus = 'O'", _flagged)
 _where("f_coerce_string", "orders", _rule("o_orderkey", "equals", 17, coerceType="String"), "o_orderkey::VARCHAR = '17'")
 _where("f_json_path", "events", _rule("props.k", "lessThan", 30), "CAST(json_extract_string(props, '$.k') AS INT) < 30")
 _where("f_json_missing", "events", _rule("props.nothing", "notExists"), "json_extract_string(props, '$.nothing') IS NULL")
+_quoted = lambda df: df.withColumn("props", F.concat(F.lit('{"it\'s": {"b": '), F.get_json_object("props", "$.k"), F.lit("}}")))
+_where("f_json_quoted", "events", _rule("props.it's.b", "lessThan", 30), "CAST(json_extract_string(props, '$.k') AS INT) < 30", _quoted)
+_nulled = lambda df: df.withColumn("props", F.when(F.col("event_type") == "click", '{"k": null}').when(F.col("event_type") == "view", "{}").otherwise(F.col("props")))
+for _op, _cond in (("exists", "event_type <> 'view'"), ("notExists", "event_type = 'view'"), ("isEmpty", "event_type IN ('click', 'view')")):
+    _where(f"f_json_null_{_op}", "events", _rule("props.k", _op), _cond, _nulled)
+_where("f_json_null_exists_sql", "events", _rule("props.k", "exists"), "event_type NOT IN ('click', 'view')", _nulled, profile="sql")
+_where("f_fuzzy_digits", "part", _rule("p_brand", "contains", "brandx", fuzzy=True), "levenshtein('brandx', lower(string_split(p_brand, '#')[1])) <= 1")
 _where(
     "f_fuzzy", "part", _rule("p_type", "contains", "STANDRD", fuzzy=True),
     "contains(lower(p_type), 'standrd') OR len(list_filter(string_split_regex(lower(p_type), '[^a-z0-9]+'), lambda w : w <> '' AND levenshtein(w, 'standrd') <= 2)) > 0",
@@ -172,13 +187,17 @@ _where("d_naive_zone", "events", _date("ts", "before", "2024-01-12T10:30:00Z"),
 _ITEM = "struct<l_quantity: double, l_extendedprice: double, l_returnflag: string, l_shipdate: timestamp_ntz, l_partkey: bigint>"
 
 
-def _embedded(name: str, rule: Any, sql: str, **options: Any) -> None:
+def _embedded(name: str, rule: Any, sql: str, as_json: bool = False, **options: Any) -> None:
+    """Orders with their items as an array, or as the JSON text of one."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = engine(spark, sf_dir)
         item = F.struct(*[F.col(c.split(":")[0].strip()) for c in _ITEM[7:-1].split(", ")])
         items = e.catalog.table("lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
         orders = e.catalog.table("orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
         orders = orders.withColumn("items", F.coalesce("items", F.expr(f"cast(array() as array<{_ITEM}>)")))
+        if as_json:
+            orders = orders.withColumn("items", F.to_json("items")).withColumn("doc", F.concat(F.lit('{"inner": {"items": '), "items", F.lit("}}")))
         return Engine().where(orders, rule, **options).select("o_orderkey")
 
     _QUERIES[name] = run
@@ -198,6 +217,32 @@ _embedded("a_sum", {"field": "items", "aggregate": {"mode": "sum", "field": "l_q
 _embedded("a_avg_filtered", {"field": "items", "aggregate": {"mode": "avg", "field": "l_quantity"}, "condition": _rule("l_returnflag", "equals", "R"), "operator": "between", "value": [0, 20]}, "coalesce(list_avg(list_transform(list_filter(items, lambda x : x.l_returnflag = 'R'), lambda x : x.l_quantity)), 0) BETWEEN 0 AND 20")
 _embedded("a_window", _array("items", "all", _MANY, filter=_rule("l_returnflag", "notEquals", "R"), orderBy=[{"field": "l_quantity", "dir": "desc"}], skip=1, take=2), "len(list_filter(list_sort(list_transform(list_filter(items, lambda x : x.l_returnflag <> 'R'), lambda x : x.l_quantity), 'DESC')[2:3], lambda q : q <= 10)) = 0")
 
+for _op, (_more, _sql) in _CASES.items():
+    _embedded(f"aj_{_op}", _array("items" if _op in ("all", "empty") else "doc.inner.items", _op, None if _more is None else _MANY, **(_more or {})), _sql, as_json=True)
+_embedded("aj_sum", {"field": "items", "aggregate": {"mode": "sum", "field": "l_quantity"}, "operator": "lessThan", "value": 60}, "coalesce(list_sum(list_transform(items, lambda x : x.l_quantity)), 0) < 60", as_json=True)
+_embedded("aj_avg_sql", {"field": "doc.inner.items", "aggregate": {"mode": "avg", "field": "l_quantity"}, "operator": "lessThan", "value": 15}, "list_avg(list_transform(items, lambda x : x.l_quantity)) < 15", as_json=True, profile="sql")
+_embedded("aj_filtered", {"field": "items", "aggregate": {"mode": "sum", "field": "l_extendedprice"}, "condition": _rule("l_returnflag", "equals", "R"), "operator": "greaterThan", "value": 60000}, "coalesce(list_sum(list_transform(list_filter(items, lambda x : x.l_returnflag = 'R'), lambda x : x.l_extendedprice)), 0) > 60000", as_json=True)
+_embedded("aj_no_number", {"field": "items", "aggregate": {"mode": "sum", "field": "l_returnflag"}, "operator": "greaterThanEquals", "value": 0}, "len(items) = 0", as_json=True)
+_embedded("aj_outer_path", _array("items", "any", {"field": "l_extendedprice", "operator": "greaterThan", "path": "o_totalprice"}), "len(list_filter(items, lambda x : x.l_extendedprice > o_totalprice)) > 0", as_json=True)
+
+
+def _plain_json(name: str, rule: Any, sql: str, **options: Any) -> None:
+    """Events with a JSON array of plain values: as many ones as the key k of the props says, up to four."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = engine(spark, sf_dir).catalog.table("events")
+        n = F.get_json_object("props", "$.k").cast("int") % 5
+        return Engine().where(events.withColumn("tags", F.to_json(F.array_repeat(F.lit(2), n))), rule, **options).select("event_id")
+
+    _QUERIES[name], _SQL[name] = run, f"SELECT event_id FROM events WHERE {sql}"
+
+
+_N = "CAST(json_extract_string(props, '$.k') AS INT) % 5"
+_plain_json("aj_plain_empty", _array("tags", "empty"), f"{_N} = 0")
+_plain_json("aj_plain_not_empty", _array("tags", "notEmpty"), f"{_N} > 0")
+_plain_json("aj_plain_any", _array("tags", "all", True), f"{_N} = 0")
+_plain_json("aj_plain_sum", {"field": "tags", "aggregate": {"mode": "sum"}, "operator": "greaterThan", "value": 4}, f"2 * ({_N}) > 4")
+
 # Relations: the same over joins.
 _R = "SELECT o_orderkey FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey HAVING {}"
 _HIT, _ROWS = "count(*) FILTER (l_quantity > 10)", "count(l_orderkey)"
@@ -209,6 +254,22 @@ for _op, (_more, _sql) in _RCASES.items():
     _where(f"r_{_op}", "orders", _array("items", _op, None if _more is None else _MANY, **(_more or {})), _R.format(_sql))
 _where("r_fused", "orders", {"any": [_array("items", "exactly", _MANY, count=1), _array("items", "all", _rule("l_returnflag", "equals", "R")), {"field": "items", "aggregate": {"mode": "sum", "field": "l_quantity"}, "operator": "greaterThan", "value": 200}]}, _R.format(f"{_HIT} = 1 OR count(*) FILTER (l_returnflag = 'R') = {_ROWS} OR coalesce(sum(l_quantity), 0) > 200"))
 _where("r_outer_path", "orders", _array("items", "any", {"field": "l_extendedprice", "operator": "greaterThan", "path": "o_totalprice"}), "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_extendedprice > o_totalprice)")
+
+
+def _shared_key(name: str, rule: Any, sql: str) -> None:
+    """Customers and the suppliers of their nation: many parents share a key and differ in what the rule asks of them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        e.catalog.schema.relate("locals", "supplier", "customer", [("s_nationkey", "c_nationkey")], "localSuppliers")
+        return e.where("customer", rule).select("c_custkey")
+
+    _QUERIES[name], _SQL[name] = run, f"SELECT c_custkey FROM customer WHERE {sql}"
+
+
+_RICHER = {"field": "s_acctbal", "operator": "greaterThan", "path": "c_acctbal"}
+_shared_key("r_outer_shared_any", _array("localSuppliers", "any", _RICHER), "EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > c_acctbal)")
+_shared_key("r_outer_shared_count", _array("localSuppliers", "atLeast", _RICHER, count=2), "(SELECT count(*) FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > c_acctbal) >= 2")
 _where("r_nested", "customer", _array("orders", "atLeast", _array("items", "atLeast", _MANY, count=5), count=2), "(SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 10) >= 5) >= 2")
 _SUM = {"mode": "sum", "field": "l_quantity"}
 _AVG = {"mode": "avg", "field": "l_quantity"}
@@ -288,6 +349,17 @@ for _name, _rule_, _ok in (
 ):
     _QUERIES[_name] = lambda spark, sf_dir, r=_rule_: engine(spark, sf_dir).check_all("orders", r).select("rule_ok")
     _SQL[_name] = f"SELECT {_ok} AS rule_ok FROM orders"
+_DEAR = [{"field": "o_totalprice", "dir": "desc"}]
+_RANKED = "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders {w}) SELECT {ok} AS rule_ok, {error} AS rule_error FROM o"
+_OPEN_ROWS = "count(*) FILTER (o_orderstatus = 'O' AND {r})"
+for _name, _rule_, _sql in (
+    ("s_root_take", {"arrayOperator": "all", "condition": _OPEN, "orderBy": _DEAR, "take": 40}, _RANKED.format(w="", ok=f"{_OPEN_ROWS.format(r='r <= 40')} = least(count(*), 40)", error=f"'undefined all elements must match (' || (least(count(*), 40) - {_OPEN_ROWS.format(r='r <= 40')}) || ' failed)'")),
+    ("s_root_skip_take", {"arrayOperator": "atLeast", "count": 1000, "condition": _OPEN, "orderBy": _DEAR, "skip": 10, "take": 40}, _RANKED.format(w="", ok=f"{_OPEN_ROWS.format(r='r BETWEEN 11 AND 50')} >= 1000", error=f"'undefined at least 1000 elements must match (' || {_OPEN_ROWS.format(r='r BETWEEN 11 AND 50')} || ' matched)'")),
+    ("s_root_skip", {"arrayOperator": "none", "condition": _OPEN, "orderBy": _DEAR, "skip": 25}, _RANKED.format(w="", ok=f"{_OPEN_ROWS.format(r='r > 25')} = 0", error=f"'undefined no elements should match (' || {_OPEN_ROWS.format(r='r > 25')} || ' matched)'")),
+    ("s_root_filter", {"all": [{"arrayOperator": "all", "condition": _OPEN, "filter": _BIG}, {"arrayOperator": "exactly", "count": 3, "condition": _OPEN, "filter": _BIG, "orderBy": _DEAR, "take": 30}]}, _RANKED.format(w="WHERE o_totalprice > 250000", ok="count(*) < 0", error=f"'All conditions must pass: undefined all elements must match (' || count(*) FILTER (o_orderstatus <> 'O') || ' failed) AND undefined exactly 3 elements must match (' || {_OPEN_ROWS.format(r='r <= 30')} || ' matched)'")),
+):
+    _QUERIES[_name] = lambda spark, sf_dir, r=_rule_: engine(spark, sf_dir).check_all("orders", r)
+    _SQL[_name] = _sql
 
 FLAGSHIP = {"all": [_rule("o_orderstatus", "in", ["O", "P"]), _rule("o_totalprice", "between", [20000, 300000]), _date("o_orderdate", "within", {"last": "year"}), _array("items", "any", _MANY), _rule("customer.c_mktsegment", "notEquals", "BUILDING")]}
 _where("flagship", "orders", FLAGSHIP, "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('O', 'P') AND o_totalprice BETWEEN 20000 AND 300000 AND o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-01-01' AND c_mktsegment <> 'BUILDING' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 10)", now=NOW)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gristmill import bindings
 from gristmill.functions import dates
 from gristmill.functions.fuzzy import words
+from gristmill.operators.compiler import json_path
 from gristmill.options import EngineOptions, get_options
 from gristmill.rules import MISSING, AggregateRule, All, Any_, ArrayRule, DateRule, FieldRule, If, Literal, Node, RuleError
 from gristmill.sources.schema import SchemaSet
@@ -52,8 +53,8 @@ class _Text:
         first = f"{alias}.{quoted(names[0])}"
         kind = self.schema.model(model).fields.get(names[0]) if self.schema is not None and model is not None else None
         if len(names) > 1 and kind is not None and kind.kind == "String":
-            steps = "".join(f"[{n}]" if n.isdigit() else f"['{n}']" for n in names[1:] if "'" not in n)
-            return f"get_json_object({first}, '${steps}')"
+            steps = json_path(names[1:])
+            return f"try_variant_get(try_parse_json({first}), {self.param(steps)}, 'string')" if '"' in steps else f"get_json_object({first}, {self.param(steps)})"
         return ".".join([first, *map(quoted, names[1:])])
 
     def rhs(self, n: FieldRule | DateRule | AggregateRule) -> tuple[str, Any]:
