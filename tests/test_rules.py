@@ -11,7 +11,8 @@ from pyspark.sql import Row
 from gristmill import bindings, catalog
 from gristmill.functions import dates
 from gristmill.functions.fuzzy import max_distance
-from gristmill.lens import Lens, Narrowing, apply_lens, check_rule_against_lens, validate_narrowing
+from gristmill.lens import Lens, Narrowing, apply_lens, check_rule_against_lens, exposed_surface, validate_narrowing
+from gristmill.lens.sources import ordered
 from gristmill.options import EngineOptions, get_options, scope
 from gristmill.plans.engine import Engine, check
 from gristmill.plans.text import to_sql
@@ -275,3 +276,89 @@ _RANDOM = [{"id": i, "a": a, "s": s, "xs": xs} for i, (a, s, xs) in enumerate((a
 def test_random_rules(spark, rule):
     frame = spark.createDataFrame([Row(**r | {"xs": [Row(**x) for x in r["xs"]]}) for r in _RANDOM], "id int, a int, s string, xs array<struct<a: int, s: string>>")
     assert ids(frame, rule) == [r["id"] for r in _RANDOM if plain(rule, r)]
+
+
+def _lens(*more):
+    schema = SchemaSet({"a": Model("a", fields={n: Field() for n in ("id", "x", "y", "b_id")}), "b": Model("b", fields={n: Field() for n in ("id", "p", "q", "c_id")}), "c": Model("c", fields={n: Field() for n in ("id", "r")})})
+    schema.relate("b", "a", "b", [("b_id", "id")], "as")
+    schema.relate("c", "b", "c", [("c_id", "id")], "bs")
+    lens = Lens(schema, "a")
+    for root, defaults in more:
+        lens = Narrowing(lens, root, defaults)
+    return lens
+
+
+def _is(field):
+    return {"field": field, "operator": "equals", "value": 1}
+
+
+def test_a_where_may_name_what_older_layers_show_only():
+    assert validate_narrowing(_lens(({"omits": ["x"]}, {}), ({"where": _is("x")}, {})))
+    assert not validate_narrowing(_lens(({"omits": ["x"], "where": _is("x")}, {})))  # a layer may filter by what it takes itself
+    assert not validate_narrowing(_lens(({"omits": ["x"]}, {}), ({"where": _is("y")}, {})))
+    below = {"relations": {"b": {"where": _is("p")}}}
+    assert validate_narrowing(_lens(({"relations": {"b": {"omits": ["p"]}}}, {}), (below, {})))
+    assert validate_narrowing(_lens(({}, {"models": {"b": {"omits": ["p"]}}}), (below, {})))
+    assert validate_narrowing(_lens(({}, {"models": {"b": {"omits": ["p"]}}}), ({}, {"models": {"b": {"where": _is("p")}}})))
+    assert not validate_narrowing(_lens(({"relations": {"b": {"omits": ["p"]}}}, {}), ({}, {"models": {"b": {"where": _is("p")}}})))
+    assert validate_narrowing(_lens(({}, {"models": {"c": {"omits": ["r"]}}}), ({"where": _is("b.c.r")}, {})))
+
+
+def test_labels_and_axes_may_not_show_what_older_layers_took():
+    child = lambda own: ({"sources": {"x": own}}, {})
+    assert validate_narrowing(_lens(({"omits": ["y"]}, {}), child({"label": "y"})))
+    assert validate_narrowing(_lens(({"picks": ["x"]}, {}), child({"label": "y"})))
+    assert not validate_narrowing(_lens(({"omits": ["y"], "sources": {"x": {"label": "y"}}}, {}), child({"label": "y"})))  # declared before
+    assert not validate_narrowing(_lens(({"sources": {"x": {"label": "y"}}, "omits": ["y"]}, {})))
+    assert validate_narrowing(_lens(({"relations": {"b": {"omits": ["p"]}}}, {}), child({"groupBy": "b.p"})))
+    assert validate_narrowing(_lens(({}, {"models": {"c": {"omits": ["r"]}}}), child({"groupBy": ["b.q", "b.c.r"]})))
+    assert not validate_narrowing(_lens(({}, {"models": {"c": {"omits": ["r"]}}}), child({"groupBy": ["b.q", "b.c.id"]})))
+    assert validate_narrowing(_lens(({}, {"models": {"a": {"omits": ["y"]}}}), ({}, {"models": {"a": {"sources": {"x": {"label": "y"}}}}})))
+
+
+def test_surface_reaches_any_model_and_groups_options():
+    models = {f"m{i}": Model(f"m{i}", fields={"id": Field(), "next": Field()}) for i in range(12)}
+    schema = SchemaSet(models)
+    for i in range(11):
+        schema.relate("on", f"m{i}", f"m{i + 1}", [("next", "id")], "back")
+    assert set(exposed_surface(Lens(schema, "m0"))) == set(models)
+    options = [{"value": 1, "groups": ["g"]}, {"value": 1, "groups": ["h"]}, {"value": 1, "groups": ["g"], "label": "one"}]
+    found = exposed_surface(_lens(), {"a.x": options, "a.y": [3, 4, 3]})["a"]["fields"]
+    assert found["x"]["options"] == [options[2], options[1]] and found["y"]["values"] == [3, 4]
+    grouped = ({"sources": {"x": {"groupBy": "y"}}, "relations": {"b": {"relations": {"as": {"sources": {"x": {"groupBy": "id"}}}}}}}, {})
+    with pytest.raises(RuleError):
+        exposed_surface(_lens(grouped))
+
+
+@pytest.mark.parametrize(
+    "pattern, text, hit",
+    [
+        ("^abc$", "abc\n", False), ({"source": "^abc$", "flags": "m"}, "x\nabc\ny", True), ({"source": "^äbc$", "flags": "i"}, "ÄBC", True), (r"a\sb", "a b", True), (r"a[\s]b", "a b", True), (r"^\S$", " ", False),
+        ("a.b", "a\u0085b", True), ("a.b", "a b", False), ({"source": "a.b", "flags": "s"}, "a\nb", True), ("a{b", "a{b", True), ("a{2}", "aa", True), ("[[]", "[", True), ("[a&&b]", "&", True), ("[]", "a", False), ("[^]", "\n", True),
+        (r"\bé", "é", False), (r"\bx\b", "(x)", True), (r"\Z", "Z", True), (r"\h", "h", True), (r"\v", "\x0b", True), (r"\v", "\n", False), (r"[\b]", "\x08", True), (r"a\/b", "a/b", True), (r"é", "é", True), (r"(?<n>a)\k<n>", "aa", True), (r"^[^\s]+$", "a b", False),
+        (r"\$5\.0$", "$5.0", True), (r"[$^.]{3}", "$^.", True),
+    ],
+)
+def test_patterns_match_as_the_evaluators_do(spark, pattern, text, hit):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert check(df, {"field": "t", "operator": "matches", "value": pattern}).first()["rule_ok"] is hit
+
+
+def test_json_arrays_of_mixed_and_odd_values(spark):
+    rows = [(1, '[{"n": 1}, {"n": 5}]'), (2, '[1, {"n": 5}]'), (3, "[1, 2]"), (4, "[]"), (5, "{}"), (6, "no json"), (7, None), (8, '[{"n": "5"}]'), (9, '[{"n": null}]')]
+    df = spark.createDataFrame(rows, "id long, j string")
+    passed = lambda rule, **o: [r["id"] for r in check(df, rule, **o).where("rule_ok").orderBy("id").collect()]
+    big = {"field": "n", "operator": "greaterThan", "value": 3}
+    assert passed({"field": "j", "arrayOperator": "any", "condition": big}) == [1, 2, 8]
+    assert passed({"field": "j", "arrayOperator": "none", "condition": big}) == [4, 9]
+    assert passed({"field": "j", "arrayOperator": "notEmpty"}) == [1, 2, 3, 8, 9] and passed({"field": "j", "arrayOperator": "empty"}) == [4]
+    assert passed({"field": "j", "arrayOperator": "empty"}, profile="sql") == [4, 5, 6, 7]
+    assert passed({"field": "j", "aggregate": {"mode": "sum", "field": "n"}, "operator": "greaterThanEquals", "value": 0}) == [1, 4]
+    assert passed({"field": "j", "aggregate": {"mode": "sum"}, "operator": "equals", "value": 3}) == [3]
+    assert passed({"field": "j", "arrayOperator": "all", "condition": {"field": "n", "operator": "exists"}}) == [1, 4, 8, 9]
+
+
+def test_options_order_as_in_english(spark):
+    texts = ["b", "B", "a10", "a2", "Ä", "ab", "z", "_x", "a02"]
+    df = spark.createDataFrame([(None, t, None) for t in texts], "groups array<string>, value string, label string")
+    assert [r["value"] for r in ordered(df).collect()] == ["_x", "Ä", "a02", "a2", "a10", "ab", "b", "B", "z"]
