@@ -10,9 +10,12 @@ A document is the set of 64-bit hashes of its distinct word shingles; equal sets
    its least hash. The distinct (shingle, group) entries are the token-group matrix. Joining a class's entries to it counts how many
    of them a group holds. Of two linked sets, the one whose entries end first shares at least `must_share` of them with the other,
    since those it doesn't share are in the other nowhere; a group that holds fewer is not opened.
-4. Sets of the remaining classes are built from their texts. A group's members are cut into blocks of bounded token count,
-   each with its token union. A query opens a block only if it shares enough with the union for the threshold; inside, overlaps
-   are counted exactly by postings. A block reports a spanning star of the links found, not the pairs.
+4. Sets of the remaining classes are built from their texts. A group's members and those that ask it are cut into blocks of bounded
+   token count, each with its token union. A query opens a block only if it shares enough with the union for the threshold; inside,
+   overlaps are counted exactly by postings. A block reports a spanning star of the links found, not the pairs.
+   A group of many blocks has pivots, well connected members that all of its blocks hold. Pivots that one set links to are of one
+   component; sets that link to the greatest such bundle needn't be compared with each other any more. Only what is left of the group
+   meets the blocks of the rest, so a large group of near copies is read a fixed number of times, not once for each of its blocks.
 5. Connected components give each class, and so each document, the smallest doc_id that it reaches.
 
 Defined cases: a null or wordless text has 0 shingles and is alone; fewer words than the shingle length are one shingle; a null
@@ -37,6 +40,8 @@ from gristmill.llm.winnowing import Hashes, grams
 WORDS, PERCENT = 5, 80
 #: Bound on the heavy shingles, which are broadcast; on those that one batch reports; tokens of a batch; of a block; least count.
 HEAVY, HEAVY_BATCH, BATCH_TOKENS, BLOCK_TOKENS, HEAVY_COUNT = 1 << 17, 40_000, 6_000_000, 300_000, 2
+#: Pivots of a group of many blocks, at most. Their numbers are bits of a mask.
+PIVOTS = 16
 _MEMO = 300_000
 
 
@@ -200,19 +205,21 @@ def _sets(shared, words: int):
 
 def _open(percent: int):
     def run(block: pa.Table) -> pa.Table:
-        """Links between the queries and the members of one block, as stars."""
+        """Links between the queries and the members of one block, as stars (a, b), and by set the pivots that it links to (a, to_group, mask)."""
         at_class: dict[int, int] = {}
-        names, sets, member, query = [], [], [], []
-        for c, tokens, m, q in zip(*(block.column(x).to_pylist() for x in ("class", "tokens", "member", "query")), strict=True):
+        names, sets, member, query, pivot = [], [], [], [], []
+        for c, tokens, m, q, k in zip(*(block.column(x).to_pylist() for x in ("class", "tokens", "member", "query", "pivot")), strict=True):
             i = at_class.setdefault(c, len(names))
             if i == len(names):
                 names.append(c)
                 sets.append(np.frombuffer(tokens, np.uint64))
                 member.append(m)
                 query.append(q)
+                pivot.append(k)
             else:
-                member[i], query[i] = member[i] or m, query[i] or q
+                member[i], query[i], pivot[i] = member[i] or m, query[i] or q, max(pivot[i], k)
         sizes, root = np.array([len(s) for s in sets]), list(range(len(names)))
+        mask, bit = [0] * len(names), np.array([1 << k if k >= 0 else 0 for k in pivot], np.int64)
 
         def find(i: int) -> int:
             while root[i] != i:
@@ -229,6 +236,7 @@ def _open(percent: int):
             union, begin = np.unique(flat, return_index=True)
             held = np.diff(np.append(begin, len(flat)))
             for q in np.nonzero(query)[0]:
+                mask[q] |= int(bit[q])
                 at = np.searchsorted(union, sets[q])
                 at[at == len(union)] = 0
                 at = at[union[at] == sets[q]]
@@ -241,33 +249,83 @@ def _open(percent: int):
                 counts = held[at]
                 spots = np.arange(counts.sum()) + np.repeat(begin[at] - np.cumsum(counts) + counts, counts)
                 common = np.bincount(owner[spots], minlength=len(members))
-                for m in members[(common > 0) & (100 * common >= percent * (sizes[q] + sizes[members] - common))]:
+                linked = members[(common > 0) & (100 * common >= percent * (sizes[q] + sizes[members] - common))]
+                mask[q] |= int(np.bitwise_or.reduce(bit[linked], initial=0))
+                for m in linked:
                     a, b = find(int(q)), find(int(m))
                     if a != b:
                         root[max(a, b)] = min(a, b)
         moved = [i for i in range(len(names)) if find(i) != i]
-        return pa.table({"a": pa.array([names[i] for i in moved], pa.int64()), "b": pa.array([names[find(i)] for i in moved], pa.int64())})
+        known = [i for i in range(len(names)) if mask[i]]
+        group = block.column("to_group")[0].as_py()
+        return pa.table({
+            "a": pa.array([names[i] for i in moved + known], pa.int64()), "b": pa.array([names[find(i)] for i in moved] + [None] * len(known), pa.int64()),
+            "to_group": pa.array([None] * len(moved) + [group] * len(known), pa.int64()), "mask": pa.array([None] * len(moved) + [mask[i] for i in known], pa.int64()),
+        })
 
     return run
 
 
-def _placed(opened: DataFrame) -> DataFrame:
-    """to_group, qb, mb, class, query, member: where each class is looked at.
+_FOUND = "a long, b long, to_group long, mask long"
 
-    A group's members fall into blocks of bounded token count, and so do the queries from other groups. A pair of a group's own blocks
-    is looked at once, as is a pair of groups: the class of the greater group asks.
+
+def _asking(opened: DataFrame) -> DataFrame:
+    """class, to_group, n, own, popular: a group's members, and the classes that ask it. Of a pair of groups the class of the greater one asks."""
+    rows = opened.where("group > to_group").select("class", "to_group", "n", F.lit(False).alias("own"), F.lit(0).cast("long").alias("popular"))
+    mine = opened.groupBy("class", "group", "n").agg(F.max(F.when(F.col("group") == F.col("to_group"), F.col("popular")).otherwise(0)).alias("popular"))
+    return mine.select("class", F.col("group").alias("to_group"), "n", F.lit(True).alias("own"), "popular").union(rows)
+
+
+def _placed(asking: DataFrame, blocks: DataFrame) -> DataFrame:
+    """to_group, qb, mb, class, query, member, pivot: each class once for each group, and the pivots in all blocks of theirs. blocks: to_group, nb."""
+    rows = asking.join(blocks, "to_group")
+    block = F.pmod(F.xxhash64("class"), F.col("nb"))
+    home = rows.select("class", "to_group", block.alias("qb"), block.alias("mb"), F.lit(True).alias("query"), F.col("own").alias("member"), F.lit(-1).alias("pivot"))
+    return home.union(_pivots(rows).select("class", "to_group", "qb", F.col("qb").alias("mb"), F.lit(True), F.lit(True), "pivot"))
+
+
+def _pivots(rows: DataFrame) -> DataFrame:
+    """class, to_group, pivot and qb, once for each block: of the members in each of PIVOTS parts, the one whose entries are shared most."""
+    part = F.pmod(F.xxhash64(F.lit(1), "class"), F.lit(PIVOTS)).cast("int")
+    best = rows.where("own AND nb > 1").groupBy("to_group", "nb", part.alias("pivot")).agg(F.max_by("class", F.struct("popular", "class")).alias("class"))
+    return best.select("class", "to_group", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("qb"))
+
+
+def _greatest_bundle(masks: pa.Table) -> pa.Table:
+    """Of one group's distinct masks with their numbers, the pivots of the component that most sets link to."""
+    bundles: list[tuple[int, int]] = []  # pivots, sets
+    for mask, n in zip(masks.column("mask").to_pylist(), masks.column("n").to_pylist(), strict=True):
+        apart = [b for b in bundles if not b[0] & mask]
+        for b in bundles:
+            if b[0] & mask:
+                mask, n = mask | b[0], n + b[1]
+        bundles = [*apart, (mask, n)]
+    return pa.table({"to_group": masks.column("to_group")[:1], "major": pa.array([max(bundles, key=lambda b: (b[1], b[0]))[0]], pa.int64())})
+
+
+def _placed_rest(asking: DataFrame, blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """The same for what the blocks of large groups have left open: pairs of a member and a member or asking class, not both linked to the bundle.
+
+    c, r: members linked to the bundle and others; s, t: asking classes likewise. A group whose r and t are empty is done.
     """
-    rows = opened.where("group > to_group").select("class", "to_group", "n", F.lit(False).alias("own"))
-    own_n, other_n = (F.coalesce(F.sum(F.when(F.col("own") == flag, F.col("n"))), F.lit(0)) for flag in (True, False))
-    mine = opened.select("class", "group", "n").distinct().select("class", F.col("group").alias("to_group"), "n", F.lit(True).alias("own"))
-    rows = mine.union(rows)
-    blocks = rows.groupBy("to_group").agg(F.greatest(F.ceil(own_n / BLOCK_TOKENS), F.lit(1)).alias("nb"), F.ceil(other_n / BLOCK_TOKENS).alias("fb"))
-    rows = rows.join(blocks, "to_group").withColumn("h", F.pmod(F.xxhash64("class"), F.when(F.col("own"), F.col("nb")).otherwise(F.col("fb"))))
-    where = """if(own,
-        concat(transform(sequence(h, nb + fb - 1), q -> named_struct('qb', q, 'mb', h, 'query', q = h, 'member', true)),
-               if(h > 0, transform(sequence(0L, h - 1), m -> named_struct('qb', h, 'mb', m, 'query', true, 'member', false)), array())),
-        transform(sequence(0L, nb - 1), m -> named_struct('qb', nb + h, 'mb', m, 'query', true, 'member', false)))"""
-    return rows.select("class", "to_group", F.inline(F.expr(where)))
+    masks = found.where("mask IS NOT NULL").groupBy("a", "to_group").agg(F.bit_or("mask").alias("mask"))
+    major = masks.groupBy("to_group", "mask").agg(F.count("*").alias("n")).groupBy("to_group").applyInArrow(_greatest_bundle, "to_group long, major long")
+    linked = masks.join(major, "to_group").where(F.col("mask").bitwiseAND(F.col("major")) != 0).select(F.col("a").alias("class"), "to_group", F.lit(True).alias("linked"))
+    rows = asking.join(blocks.where("nb > 1").select("to_group"), "to_group").join(linked, ["class", "to_group"], "left")
+    rows = rows.withColumn("kind", F.expr("if(own, if(linked, 'c', 'r'), if(linked, 's', 't'))"))
+    number = lambda kind: F.ceil(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)) / BLOCK_TOKENS).alias(kind)
+    rows = rows.join(rows.groupBy("to_group").agg(*map(number, "crst")).where("r > 0 OR t > 0"), "to_group")
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("class"), F.expr("case kind when 'c' then c when 'r' then r when 's' then s else t end")))
+    # Blocks of members: c, then r. Blocks of queries: r, then t, then s, which meets r alone; of two blocks of r the lesser asks.
+    each = lambda low, high, body: f"if({high} >= {low}, transform(sequence({low}, {high}), x -> named_struct({body})), array())"
+    pair = lambda q, m, query, member: f"'qb', {q}, 'mb', {m}, 'query', {query}, 'member', {member}"
+    where = f"""case kind
+        when 'c' then {each("0L", "r + t - 1", pair("x", "h", "false", "true"))}
+        when 'r' then concat({each("0L", "h", pair("x", "c + h", "x = h", "true"))}, {each("r", "r + t + s - 1", pair("x", "c + h", "false", "true"))},
+            {each("0L", "c - 1", pair("h", "x", "true", "false"))}, {each("c + h + 1", "c + r - 1", pair("h", "x", "true", "false"))})
+        when 't' then {each("0L", "c + r - 1", pair("r + h", "x", "true", "false"))}
+        else {each("c", "c + r - 1", pair("r + t + h", "x", "true", "false"))} end"""
+    return rows.select("class", "to_group", F.inline(F.expr(where))).withColumn("pivot", F.lit(-1))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -280,10 +338,10 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     spark = docs.sparkSession
     texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = cut(texts.mapInArrow(_profile(words), "doc_id long, n long, class long, shingle long"))
-    heavy = profile.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HEAVY).collect()
-    tokens = np.array([r["shingle"] for r in heavy], np.int64).view(np.uint64)
+    heavy = profile.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HEAVY).toArrow()
+    tokens, score = heavy.column("shingle").to_numpy().view(np.uint64), heavy.column("n").to_numpy()
     order = np.argsort(tokens)
-    shared = spark.sparkContext.broadcast((tokens[order], np.array([r["n"] for r in heavy], np.int64)[order]))
+    shared = spark.sparkContext.broadcast((tokens[order], score[order]))
     sized = profile.where("shingle IS NULL").select("doc_id", "n", "class")
 
     entries = texts.mapInArrow(_entries(shared, words, percent, 1 << 20), "to long, shingle long, class long, group long, kind byte")
@@ -294,18 +352,29 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     active = cut(entries.where("kind < 2").select("class", "shingle").join(groups, "class"))
 
     matrix = active.groupBy("shingle", "group").agg(F.count("*").alias("holders")).withColumnRenamed("group", "to_group")
-    meets = active.join(matrix, "shingle").where("group <> to_group OR holders > 1").groupBy("class", "group", "n", "to_group").agg(F.count("*").alias("common"))
+    meets = active.join(matrix, "shingle").where("group <> to_group OR holders > 1").groupBy("class", "group", "n", "to_group").agg(F.count("*").alias("common"), F.sum("holders").alias("popular"))
     sizes = active.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("group", "to_group")
     opened = meets.join(sizes, "to_group").where(f"common >= {must_share('n', 'least', 'most', percent)}")
-    opened = cut(opened.select("class", "group", "to_group", "n"))
+    opened = cut(opened.select("class", "group", "to_group", "n", "popular"))
     free_shuffles(spark)
-    asked = opened.select("class").distinct()
 
     firsts = sized.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     name = F.coalesce("doc_id", F.lit(-1))
-    bitmap = bit_filter(firsts.join(asked, "class", "left_semi").select(name.alias("doc_id")).select(slot_of("doc_id").alias("slot")))
-    sets = texts.withColumn("doc_id", name).withColumn("slot", slot_of("doc_id")).mapInArrow(_sets(bitmap, words), "class long, tokens binary")
-    edges = _placed(opened).join(sets, "class").groupBy("to_group", "qb", "mb").applyInArrow(_open(percent), "a long, b long")
+
+    def links(placed: DataFrame) -> DataFrame:
+        """What the placed classes' blocks report. Only texts that the filter takes for theirs are read for sets."""
+        bitmap = bit_filter(firsts.join(placed.select("class").distinct(), "class", "left_semi").select(name.alias("doc_id")).select(slot_of("doc_id").alias("slot")))
+        sets = texts.withColumn("doc_id", name).withColumn("slot", slot_of("doc_id")).mapInArrow(_sets(bitmap, words), "class long, tokens binary")
+        return cut(placed.join(sets, "class").groupBy("to_group", "qb", "mb").applyInArrow(_open(percent), _FOUND))
+
+    asking = _asking(opened)
+    blocks = cut(asking.groupBy("to_group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.lit(1)).alias("nb")))
+    found = links(_placed(asking, blocks))
+    edges = found.where("b IS NOT NULL").select("a", "b")
+    if blocks.where("nb > 1").limit(1).count():
+        rest = cut(_placed_rest(asking, blocks, found))
+        if rest.limit(1).count():
+            edges = edges.union(links(rest).where("b IS NOT NULL").select("a", "b"))
     roots = components(edges)
 
     classes = firsts.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -143,6 +143,31 @@ def test_jaccard_demand_is_a_lower_bound(spark, percent):
         assert found == wanted, (n, least, most)
 
 
+@pytest.mark.parametrize("pivots", [1, 2, 16])
+def test_jaccard_in_groups_of_many_blocks(make, pivots, monkeypatch):
+    """Large groups of near copies whose ends aren't linked with each other, beside sets that only share a passage: chains and lone ones."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 250)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    rng, rows = random.Random(pivots), []
+    first = sentence(rng, 60).split()
+    for chain in range(3):
+        words = list(first) if chain < 2 else sentence(rng, 50).split()
+        for i in range(60):
+            rows.append((1000 * chain + i, " ".join(words)))
+            if i % 3 == 0:  # a step along the chain; else a side branch
+                words[rng.randrange(len(words))] = f"s{chain}x{i}"
+            else:
+                side = list(words)
+                for _ in range(rng.choice([1, 1, 2, 3])):
+                    side[rng.randrange(len(side))] = f"b{chain}x{i}x{rng.randrange(99)}"
+                rows.append((1000 * chain + 500 + i, " ".join(side)))
+    passage = sentence(rng, 40)
+    rows += [(5000 + i, passage + " " + sentence(rng, rng.randrange(1, 14))) for i in range(60)]
+    rng.shuffle(rows)
+    out = jaccard_join.jaccard_components(make(rows, 4)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == plain_components(rows)
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_jaccard_links_at_the_edge(make, parts):
     """A run of 24 words with 1, 4 and 5 more: sets of 21, 24 and 25, the first two of which share just 80 %."""
