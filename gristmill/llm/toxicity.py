@@ -11,7 +11,7 @@ one half give the offending offsets (code points). Labels, language, source and
 (at most MAX_CUES cues) and broadcast.
 
 Defined cases: null or wordless texts score as texts without any cue; null labels and labels without a document teach nothing; of
-labels for one id the greatest counts, of texts for one id the last in order; without labels of both kinds every score is the share of
+labels for one id the greatest counts, of texts for one id that of the greatest hash; without labels of both kinds every score is the share of
 toxic labels (0 without labels).
 """
 
@@ -287,13 +287,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, letter
     if not shares:
         return Field()
     pick = lambda x: known.where(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class if x else OTHERS * per_class)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(pick(0).union(pick(1))), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
-    sample = cut(small_batches(sample).withColumn("order", F.xxhash64("doc_id")))
-    sizes = sample.select("order", "doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)).alias("n")).orderBy("order", "doc_id").collect()
-    keep = within([r["n"] for r in sizes], np.array([r["toxic"] for r in sizes], np.int64), letters)
-    if len(keep) < len(sizes):
-        sample = sample.where(F.col("doc_id").isin([sizes[i]["doc_id"] for i in keep]))
+    texts = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
+    sample = texts.join(F.broadcast(pick(0).union(pick(1))), "doc_id").withColumns({"order": F.xxhash64("doc_id"), "row": F.monotonically_increasing_id()})
+    sample = cut(sample)
+    one = F.max(F.struct(F.xxhash64("text").alias("h"), "row", F.coalesce(F.length("text"), F.lit(0)).alias("n"))).alias("one")
+    rows = sample.groupBy("order", "doc_id", "toxic").agg(one).orderBy("order", "doc_id").collect()
+    keep = within([r["one"]["n"] for r in rows], np.array([r["toxic"] for r in rows], np.int64), letters)
+    sample = sample.where(F.col("row").isin([rows[i]["one"]["row"] for i in keep]))
     prior = shares.get(1, 0) / sum(shares.values())
     return pickle.loads(sample.repartition(1).mapInArrow(_fitted(prior), "model binary").first()["model"])
 
