@@ -76,7 +76,34 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("secrets").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_jaccard_join, op4_warc, op5_topk_search, op6_chat_format, op7_winnowing, op8_mixing, op9_extraction, op10_secrets)}
+# Parts of the above that SQL can express where it can't express the whole.
+
+
+def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_token_counts(spark, sf_dir).select("doc_id", "n_bytes", F.col("n_tokens").between(F.lit(0), F.col("n_bytes")).alias("within"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("taken") <= 3 * F.col("size")).alias("within"))
+
+
+def mix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source, what the mix takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("of"))
+    return op8_mixing(spark, sf_dir).join(docs, "doc_id").groupBy("of").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+
+
+def secret_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def toxic_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op1_toxicity(spark, sf_dir)
+    ok = F.col("score").between(0, 1) & (F.col("predicted") == (F.col("score") >= 0.5).cast("int"))
+    return found.select("doc_id", ok.alias("ok"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_jaccard_join, op4_warc, op5_topk_search, op6_chat_format, op7_winnowing, op8_mixing, op9_extraction, op10_secrets, text_bytes, mix_targets, mix_sums, secret_bases, toxic_folds)}
 ORACLES = {
     "op3_jaccard_join": r"""
 WITH RECURSIVE w AS (
@@ -130,4 +157,36 @@ it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FR
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_id
 """,
+    "text_bytes": "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, true AS within FROM documents",
+    "toxic_folds": "SELECT doc_id, true AS ok FROM documents",
 }
+# Sources are filled in order of the level at which they are full; the rest share what is left by weight.
+_TARGETS = r"""
+d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+f AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(w) OVER (ORDER BY source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM s),
+l AS (SELECT arg_min(rest / weights, cap / w) FILTER (WHERE cap / w > rest / weights) AS level FROM f),
+t AS (SELECT source, source_size, least(cap, coalesce(level * w, cap))::DOUBLE AS target FROM f, l)
+"""
+ORACLES["mix_targets"] = f"WITH {_TARGETS} SELECT doc_id, size, source_size, round(target, 3) AS target, true AS within FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"
+ORACLES["mix_sums"] = f"WITH {_TARGETS} SELECT source AS of, round(target)::BIGINT AS taken, source_size AS size FROM t"
+
+
+def _matches(kind: str, pattern: str, least: int, group: int) -> str:
+    """SQL for the spans of a pattern: a match begins after all pieces and matches before it."""
+    return rf"""
+  SELECT doc_id, {kind!r} AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i : {{'begin': list_sum([0] || list_transform(p[:i], lambda x : length(x))) + list_sum([0] || list_transform(m[:i - 1], lambda x : length(x))), 'n': length(m[i]), 'own': length(g[i])}})) AS x, {least} AS least
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS g, string_split_regex(text, '{pattern}') AS p FROM docs)"""
+
+
+_KINDS = (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 12, 2), ("access", "AKIA[A-Z0-9]+", 18, 0), ("hex", "[0-9a-f]+", 16, 0))
+ORACLES["secret_bases"] = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(_matches(*k) for k in _KINDS)}),
+kept AS (SELECT doc_id, kind, x.begin::BIGINT AS a, (x.begin + x.n)::BIGINT AS b FROM found WHERE x.own >= least),
+lists AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, list_position(['assign', 'access', 'hex'], kind)) AS l FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(l, '')) AS base_sha256
+FROM docs d LEFT JOIN lists ON lists.doc_id = d.doc_id
+"""
