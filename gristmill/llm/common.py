@@ -17,8 +17,10 @@ ARROW_ROWS = 512
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Called by operators that pass texts to Python: bounds what one batch holds."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Called by operators that pass texts to Python: bounds the rows of one Arrow batch for the session, unless it bounds them lower itself."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ARROW_ROWS:
+        conf.set(name, str(ARROW_ROWS))
     return df
 
 

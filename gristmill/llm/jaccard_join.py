@@ -8,7 +8,7 @@ A document is the set of 64-bit hashes of its distinct word shingles; equal sets
    while the sorted entries stream by. Classes left without entries have no partner.
 3. Similar classes form groups of near sizes: a class that is mostly heavy belongs to its most frequent heavy shingle, any other to
    its least hash. The distinct (shingle, group) entries are the token-group matrix. Joining a class's entries to it counts how many
-   of them a group holds. Of two linked sets, the one whose entries end first shares at least `must_share` of them with the other,
+   of them a group holds, and the sizes of their holders. Of two linked sets, the one whose entries end first shares at least `must_share` of them with the other,
    since those it doesn't share are in the other nowhere; a group that holds fewer is not opened.
 4. Sets of the remaining classes are built from their texts. A group's members and those that ask it are cut into blocks of bounded
    token count, each with its token union. A query opens a block only if it shares enough with the union for the threshold; inside,
@@ -42,6 +42,8 @@ WORDS, PERCENT = 5, 80
 HEAVY, HEAVY_BATCH, BATCH_TOKENS, BLOCK_TOKENS, HEAVY_COUNT = 1 << 17, 40_000, 6_000_000, 300_000, 2
 #: Pivots of a group of many blocks, at most. Their numbers are bits of a mask.
 PIVOTS = 16
+#: Groups of many blocks up to this number are broadcast, with a few numbers each.
+FEW_GROUPS = 100_000
 _MEMO = 300_000
 
 
@@ -276,9 +278,17 @@ def _asking(opened: DataFrame) -> DataFrame:
     return mine.select("class", F.col("group").alias("to_group"), "n", F.lit(True).alias("own"), "popular").union(rows)
 
 
+def _few(large: DataFrame) -> DataFrame:
+    """Rows about groups of many blocks, which are few: broadcast, so that no group's classes meet in one task, while they are."""
+    return F.broadcast(large) if large.count() <= FEW_GROUPS else large
+
+
 def _placed(asking: DataFrame, blocks: DataFrame) -> DataFrame:
-    """to_group, qb, mb, class, query, member, pivot: each class once for each group, and the pivots in all blocks of theirs. blocks: to_group, nb."""
-    rows = asking.join(blocks, "to_group")
+    """to_group, qb, mb, class, query, member, pivot: each class once for each group, and the pivots in all blocks of theirs.
+
+    blocks: to_group and nb, of groups of many blocks.
+    """
+    rows = asking.join(_few(blocks), "to_group", "left").withColumn("nb", F.coalesce("nb", F.lit(1).cast("long")))
     block = F.pmod(F.xxhash64("class"), F.col("nb"))
     home = rows.select("class", "to_group", block.alias("qb"), block.alias("mb"), F.lit(True).alias("query"), F.col("own").alias("member"), F.lit(-1).alias("pivot"))
     return home.union(_pivots(rows).select("class", "to_group", "qb", F.col("qb").alias("mb"), F.lit(True), F.lit(True), "pivot"))
@@ -309,12 +319,13 @@ def _placed_rest(asking: DataFrame, blocks: DataFrame, found: DataFrame) -> Data
     c, r: members linked to the bundle and others; s, t: asking classes likewise. A group whose r and t are empty is done.
     """
     masks = found.where("mask IS NOT NULL").groupBy("a", "to_group").agg(F.bit_or("mask").alias("mask"))
-    major = masks.groupBy("to_group", "mask").agg(F.count("*").alias("n")).groupBy("to_group").applyInArrow(_greatest_bundle, "to_group long, major long")
-    linked = masks.join(major, "to_group").where(F.col("mask").bitwiseAND(F.col("major")) != 0).select(F.col("a").alias("class"), "to_group", F.lit(True).alias("linked"))
-    rows = asking.join(blocks.where("nb > 1").select("to_group"), "to_group").join(linked, ["class", "to_group"], "left")
+    major = cut(masks.groupBy("to_group", "mask").agg(F.count("*").alias("n")).groupBy("to_group").applyInArrow(_greatest_bundle, "to_group long, major long"))
+    linked = masks.join(_few(major), "to_group").where(F.col("mask").bitwiseAND(F.col("major")) != 0).select(F.col("a").alias("class"), "to_group", F.lit(True).alias("linked"))
+    rows = asking.join(_few(blocks).select("to_group"), "to_group").join(linked, ["class", "to_group"], "left")
     rows = rows.withColumn("kind", F.expr("if(own, if(linked, 'c', 'r'), if(linked, 's', 't'))"))
     number = lambda kind: F.ceil(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)) / BLOCK_TOKENS).alias(kind)
-    rows = rows.join(rows.groupBy("to_group").agg(*map(number, "crst")).where("r > 0 OR t > 0"), "to_group")
+    rows = cut(rows)
+    rows = rows.join(_few(rows.groupBy("to_group").agg(*map(number, "crst")).where("r > 0 OR t > 0")), "to_group")
     rows = rows.withColumn("h", F.pmod(F.xxhash64("class"), F.expr("case kind when 'c' then c when 'r' then r when 's' then s else t end")))
     # Blocks of members: c, then r. Blocks of queries: r, then t, then s, which meets r alone; of two blocks of r the lesser asks.
     each = lambda low, high, body: f"if({high} >= {low}, transform(sequence({low}, {high}), x -> named_struct({body})), array())"
@@ -351,11 +362,12 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     groups = entries.where("kind = 2").select("class", "group", F.col("shingle").alias("n"))
     active = cut(entries.where("kind < 2").select("class", "shingle").join(groups, "class"))
 
-    matrix = active.groupBy("shingle", "group").agg(F.count("*").alias("holders")).withColumnRenamed("group", "to_group")
-    meets = active.join(matrix, "shingle").where("group <> to_group OR holders > 1").groupBy("class", "group", "n", "to_group").agg(F.count("*").alias("common"), F.sum("holders").alias("popular"))
-    sizes = active.groupBy("group").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("group", "to_group")
-    opened = meets.join(sizes, "to_group").where(f"common >= {must_share('n', 'least', 'most', percent)}")
-    opened = cut(opened.select("class", "group", "to_group", "n", "popular"))
+    holders = [F.count("*").alias("holders"), F.min("n").alias("least"), F.max("n").alias("most")]
+    matrix = active.groupBy("shingle", "group").agg(*holders).withColumnRenamed("group", "to_group")
+    # A linked member holds all that is shared, so its size is within those of the holders.
+    shared_by = [F.count("*").alias("common"), F.sum("holders").alias("popular"), F.min("least").alias("least"), F.max("most").alias("most")]
+    meets = active.join(matrix, "shingle").where("group <> to_group OR holders > 1").groupBy("class", "group", "n", "to_group").agg(*shared_by)
+    opened = cut(meets.where(f"common >= {must_share('n', 'least', 'most', percent)}").select("class", "group", "to_group", "n", "popular"))
     free_shuffles(spark)
 
     firsts = sized.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
@@ -368,10 +380,10 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         return cut(placed.join(sets, "class").groupBy("to_group", "qb", "mb").applyInArrow(_open(percent), _FOUND))
 
     asking = _asking(opened)
-    blocks = cut(asking.groupBy("to_group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_TOKENS), F.lit(1)).alias("nb")))
+    blocks = cut(asking.groupBy("to_group").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("nb")).where("nb > 1"))
     found = links(_placed(asking, blocks))
     edges = found.where("b IS NOT NULL").select("a", "b")
-    if blocks.where("nb > 1").limit(1).count():
+    if blocks.limit(1).count():
         rest = cut(_placed_rest(asking, blocks, found))
         if rest.limit(1).count():
             edges = edges.union(links(rest).where("b IS NOT NULL").select("a", "b"))

@@ -148,6 +148,7 @@ def test_jaccard_in_groups_of_many_blocks(make, pivots, monkeypatch):
     """Large groups of near copies whose ends aren't linked with each other, beside sets that only share a passage: chains and lone ones."""
     monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 250)
     monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard_join, "FEW_GROUPS", 100 if pivots > 1 else 0)
     rng, rows = random.Random(pivots), []
     first = sentence(rng, 60).split()
     for chain in range(3):
