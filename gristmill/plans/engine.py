@@ -136,17 +136,22 @@ class Engine:
         df = self.where(source, rule, **options)
         return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
-    def join_bridge(self, model: str, bridge: str, as_name: str = "linked") -> DataFrame:
-        """A model's rows with the rows of the other source: a struct for a one-side, else an array of structs."""
+    def join_bridge(self, model: str, bridge: str, as_name: str = "linked", nested: bool = True) -> DataFrame:
+        """A model's rows with the rows of the other source: a struct for a one-side, else an array of structs.
+
+        nested=False gives a row for each link instead (one, with a null, where there is none), which no key can make large.
+        """
         relation = self.catalog.schema.model(model).relations[bridge]
         (a, b), left, right = relation.keys[0], self.catalog.table(model), self.catalog.table(relation.target)
         row = F.struct(*[F.col(f"`{c}`") for c in right.columns])
-        side = right.where(F.col(f"`{b}`").isNotNull()).groupBy(F.col(f"`{b}`").alias("_b"))
-        if relation.many:
-            side = side.agg(F.collect_list(row).alias(as_name))
+        side = right.where(F.col(f"`{b}`").isNotNull())
+        if relation.many and not nested:
+            side = side.select(F.col(f"`{b}`").alias("_b"), row.alias(as_name))
+        elif relation.many:
+            side = side.groupBy(F.col(f"`{b}`").alias("_b")).agg(F.collect_list(row).alias(as_name))
         else:
             twice = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"{bridge}: the key is not unique")).cast("string"))
-            side = side.agg(F.first(row).alias(as_name), twice.alias("_twice")).where(F.col("_twice").isNull()).drop("_twice")
+            side = side.groupBy(F.col(f"`{b}`").alias("_b")).agg(F.first(row).alias(as_name), twice.alias("_twice")).where(F.col("_twice").isNull()).drop("_twice")
         return left.join(side, left[a] == side["_b"], "left").drop("_b")
 
 

@@ -338,6 +338,8 @@ _QUERIES["b_bridge_one"] = lambda spark, sf_dir: _bridged(spark, sf_dir).where("
 _SQL["b_bridge_one"] = "SELECT event_id FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2"
 _QUERIES["b_bridge_many"] = lambda spark, sf_dir: _bridged(spark, sf_dir).where("crm:customer", _array("web:events", "atLeast", _VALUE, count=10)).select("c_custkey")
 _SQL["b_bridge_many"] = "SELECT c_custkey FROM customer WHERE (SELECT count(*) FROM events WHERE user_id = c_custkey AND value > 50) >= 10"
+_QUERIES["b_bridge_links"] = lambda spark, sf_dir: _bridged(spark, sf_dir).join_bridge("crm:customer", "web:events", nested=False).groupBy("c_custkey").agg(F.count("linked").alias("n"))
+_SQL["b_bridge_links"] = "SELECT c_custkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey"
 _QUERIES["b_bridge_rows"] = lambda spark, sf_dir: _bridged(spark, sf_dir).join_bridge("crm:customer", "web:events").select("c_custkey", F.coalesce(F.size("linked"), F.lit(0)).cast("long").alias("n"))
 _SQL["b_bridge_rows"] = "SELECT c_custkey, count(event_id) AS n FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey"
 
