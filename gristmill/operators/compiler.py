@@ -292,6 +292,7 @@ def quantified(rule: ArrayRule, matched: Column | None = None, failed: Column |
     if rule.error is not None:
         return F.lit(rule.error)
     name, k = rule.path or "undefined", rule.count
+    failed = F.lit(0) if rule.condition == Literal(False) else failed  # an item that is denied without a text is no failure
     texts = {"empty": "must be empty", "notEmpty": "must not be empty", "all": "all elements must match ({failed} failed)", "any": "at least one element must match", "none": "no elements should match ({matched} matched)"}
     texts |= {op: f"{words} {k} elements must match ({{matched}} matched)" for op, words in (("atLeast", "at least"), ("atMost", "at most"), ("exactly", "exactly"))}
     text = f"{name} {texts[rule.operator]}"

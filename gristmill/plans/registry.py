@@ -372,12 +372,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from gristmill.plans import lens_queries
+    from gristmill.plans import lens_queries, more_queries
 
-    return _QUERIES | lens_queries.queries()
+    return _QUERIES | lens_queries.queries() | more_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from gristmill.plans import lens_queries
+    from gristmill.plans import lens_queries, more_queries
 
-    return _SQL | lens_queries.oracle_sql()
+    return _SQL | lens_queries.oracle_sql() | more_queries.oracle_sql()
