@@ -56,7 +56,9 @@ SCOPE = frozenset("ul ol dl table select article section div main aside nav body
 ASIDE = frozenset("nav footer aside form script style noscript template iframe svg canvas button select textarea input head title menu audio video map".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert menu menubar form".split())
 ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsored|cookies?|consent|notices?|sidebar|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|respond)(?:$|[\s_-])", re.I
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|"
+    r"footer|masthead|comments?|commentlist|replies|respond|disqus)(?:$|[\s_-])",
+    re.I,
 )
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])(?:page-?|site-?)?header(?:$|[\s_-])", re.I)
 #: Elements that hold lines, not content as a whole.
