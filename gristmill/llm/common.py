@@ -48,6 +48,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key that more rows hold is joined by broadcast; there can't be many such keys.
+HOT_ROWS = 100_000
+
+
+def join_by(rows: DataFrame, one: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """`rows` with the columns of `one`, which has a row for each key and in `n` how many of the rows hold it.
+
+    No task gets a hot key's rows: written first, `one` leaves the join open to being split at run time, and keys of very many rows don't meet at all.
+    """
+    one = cut(one)
+    hot = one.where(F.col(n) > HOT_ROWS)
+    if not hot.limit(1).count():
+        return rows.join(one.drop(n), key)
+    hot = F.broadcast(hot.drop(n))
+    return rows.join(hot, key).union(rows.join(hot.select(key), key, "left_anti").join(one.where(F.col(n) <= HOT_ROWS).drop(n), key))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that a written table has replaced; else they stay until the driver next collects garbage."""
     gc.collect()

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import bit_filter, cut, free_shuffles, has_bit, partitions, slot_of, small_batches
+from gristmill.llm.common import bit_filter, cut, free_shuffles, has_bit, join_by, partitions, slot_of, small_batches
 from gristmill.llm.components import components
 from gristmill.llm.winnowing import Hashes, grams
 
@@ -390,8 +390,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     roots = components(edges)
 
     classes = firsts.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = classes.join(least, "root").select("class", "root", "component_id")
+    least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    labels = join_by(classes, least, "root").select("class", "root", "component_id")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return sized.join(labels, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "class", "root")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, new_folder
+from gristmill.llm.common import cut, join_by, new_folder
 
 LINES = 2000
 #: Pages in one archive at most.
@@ -40,8 +40,6 @@ ARCHIVE_PAGES = 20_000
 SEGMENT = 64 << 20
 #: A list of revisits up to this size is broadcast; a longer one is joined by page_id.
 REVISIT_BYTES = 8 << 20
-#: Payloads that more pages share are few; their list is broadcast, so that no task gets all pages of one.
-SHARED_BY = 100_000
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -59,10 +57,8 @@ def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     """page_id, hex, first: the pages that revisit another one."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     keyed = cut(pages.select("page_id", F.sha1(payload).alias("hex"), F.octet_length(payload).alias("n")).where(F.col("n") >= least_bytes))
-    firsts = cut(keyed.groupBy("hex").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL"))
-    hot, others = F.broadcast(firsts.where(F.col("n") > SHARED_BY).drop("n")), firsts.where(F.col("n") <= SHARED_BY).drop("n")
-    keyed = keyed.drop("n")
-    joined = keyed.join(hot, "hex").union(keyed.join(hot, "hex", "left_anti").join(others, "hex"))
+    firsts = keyed.groupBy("hex").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).where("many > 1 AND first IS NOT NULL")
+    joined = join_by(keyed.drop("n"), firsts, "hex", "many")
     return cut(joined.where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct())
 
 

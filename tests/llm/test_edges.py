@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gristmill.llm import chat_format, extraction, jaccard_join, mixing, secrets, token_counts, topk_search, toxicity, warc, winnowing
+from gristmill.llm import chat_format, common, extraction, jaccard_join, mixing, secrets, token_counts, topk_search, toxicity, warc, winnowing
 from gristmill.llm.components import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -24,9 +24,13 @@ def sentence(rng, n):
     return " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n))
 
 
-def test_components_chain(spark):
+@pytest.mark.parametrize("hot", [100_000, 1, 3])
+def test_components_chain(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (101, 100)], "a long, b long")
-    assert {tuple(r) for r in components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+    edges = edges.union(spark.createDataFrame([(500, 501 + i) for i in range(40)] + [(i, 900) for i in range(501, 520)], edges.schema))
+    hub = {(i, 500) for i in [*range(500, 541), 900]}
+    assert {tuple(r) for r in components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)} | hub
 
 
 # 1
@@ -148,6 +152,7 @@ def test_jaccard_in_groups_of_many_blocks(make, pivots, monkeypatch):
     """Large groups of near copies whose ends aren't linked with each other, beside sets that only share a passage: chains and lone ones."""
     monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 250)
     monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(common, "HOT_ROWS", 10 * pivots)
     monkeypatch.setattr(jaccard_join, "FEW_GROUPS", 100 if pivots > 1 else 0)
     rng, rows = random.Random(pivots), []
     first = sentence(rng, 60).split()
@@ -203,7 +208,7 @@ def test_warc_by_sparks_readers(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://h{i % 3}.example/{i % 7}", f"<p>{i % 11}</p>") for i in range(60)], "page_id long, url string, html string").repartition(3)
     own = sorted(map(tuple, warc.through_archives(df).collect()))
     monkeypatch.setattr(warc, "_known_store", lambda folder: False)
-    monkeypatch.setattr(warc, "SHARED_BY", 5)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
     assert sorted(map(tuple, warc.through_archives(df).collect())) == own and len(own) == 60
 
 
