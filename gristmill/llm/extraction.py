@@ -193,7 +193,7 @@ def outline(root: Node) -> tuple[list[Block], list[tuple[Block, str, int]]]:
 
     def flush(block: Block) -> None:
         if line:
-            text = _SPACE.sub(" ", entities.unescape("".join(line))).strip()
+            text = _SPACE.sub(" ", "".join(line)).strip()
             if text:
                 lines.append((block, text, linked[0]))
         line.clear()
@@ -204,7 +204,7 @@ def outline(root: Node) -> tuple[list[Block], list[tuple[Block, str, int]]]:
     while todo:
         what, block, inside, link, leaving = todo.pop()
         if isinstance(what, str):
-            line.append(what)
+            line.append(entities.unescape(what) if "&" in what else what)
             linked[0] += len(what) if link else 0
             continue
         if leaving:

@@ -461,6 +461,10 @@ def test_copies_and_common_passages_are_no_template(spark):
     assert {r["page_id"]: r["text"] for r in extraction.extract_text(df).collect()} == {i: " ".join(x) for i, x in enumerate(bodies)}
 
 
+def test_references_end_with_their_text():
+    assert extraction.extract("<p>a &amp;lt; b &<b>lt;</b> c&nbsp;&#233;</p>", None) == "a &lt; b &lt; c é"
+
+
 @pytest.mark.parametrize("limit", [8 << 20, 0])
 def test_layouts_of_one_host(spark, monkeypatch, limit):
     """Constant lines of a layout that isn't the reference's go, too. Without broadcasts the results are the same."""
