@@ -1,4 +1,10 @@
-"""A corpus pipeline of training-data operators. Each stage's rows are written and read again as the next one's documents."""
+"""A corpus pipeline of training-data operators. Each stage's rows are written and read again as the next one's documents.
+
+Defined cases, in every stage but the last: columns pass untouched whatever their names (secrets changes text and n_chars); an empty table gives
+an empty one; rows with a null text, or without words, are never rejected; repeated rows and rows that share a doc_id are judged each by
+its own text, and of equal texts with words Jaccard keeps one. A null doc_id matters to Jaccard alone, which keeps such rows; a null source is one of
+its own in the mix, which lists every row that reaches it. Texts are read whole, however long.
+"""
 
 from __future__ import annotations
 
@@ -55,8 +61,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark and n_chars follows the new text; no document goes."""
-    clean = redact(find_secrets(_whole(docs)))
+    """Secrets are replaced by a mark and n_chars follows the new text; no document goes. The scanned rows are written once, as both of its steps read them."""
+    found = find_secrets(_whole(docs), written=True).withColumn("text", F.col("_row.text").cast("string"))
+    clean = redact(found)
     new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text").cast("long"), F.col("_row.n_chars").cast("long"))}
     return clean.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
