@@ -1,6 +1,7 @@
 """The authority layer: which columns and rows a party may refer to, and rules rewritten to keep to them."""
 
-from gristmill.lens.gate import check_rule_against_lens, describe_rule, lens_required_bindings, resolve_lens_bindings, validate_bind_names, validate_narrowing
+from gristmill.lens.gate import check_rule_against_lens, describe_rule, lens_required_bindings, resolve_lens_bindings, validate_bind_names
+from gristmill.lens.narrowing import validate_narrowing
 from gristmill.lens.policy import Lens, Narrowing, Visit, resolve_visit, walk_lens_path
 from gristmill.lens.rewrite import apply_lens, stamp_coercions
 from gristmill.lens.sources import option_frames, options_from_flat, options_from_rows

@@ -296,12 +296,40 @@ def test_a_where_may_name_what_older_layers_show_only():
     assert validate_narrowing(_lens(({"omits": ["x"]}, {}), ({"where": _is("x")}, {})))
     assert not validate_narrowing(_lens(({"omits": ["x"], "where": _is("x")}, {})))  # a layer may filter by what it takes itself
     assert not validate_narrowing(_lens(({"omits": ["x"]}, {}), ({"where": _is("y")}, {})))
-    below = {"relations": {"b": {"where": _is("p")}}}
-    assert validate_narrowing(_lens(({"relations": {"b": {"omits": ["p"]}}}, {}), (below, {})))
-    assert validate_narrowing(_lens(({}, {"models": {"b": {"omits": ["p"]}}}), (below, {})))
-    assert validate_narrowing(_lens(({}, {"models": {"b": {"omits": ["p"]}}}), ({}, {"models": {"b": {"where": _is("p")}}})))
-    assert not validate_narrowing(_lens(({"relations": {"b": {"omits": ["p"]}}}, {}), ({}, {"models": {"b": {"where": _is("p")}}})))
     assert validate_narrowing(_lens(({}, {"models": {"c": {"omits": ["r"]}}}), ({"where": _is("b.c.r")}, {})))
+    below = {"relations": {"b": {"where": _is("p")}}}  # shows no column, so it may name any
+    assert not validate_narrowing(_lens(({"relations": {"b": {"omits": ["p"]}}}, {}), (below, {})))
+    assert validate_narrowing(_lens(({"relations": {"b": {"where": _is("x")}}}, {}))) and validate_narrowing(_lens(({}, {"models": {"b": {"where": _is("x")}}})))
+
+
+@pytest.mark.parametrize(
+    "layers",
+    [
+        [({"picks": ["x"], "omits": ["y"]}, {})], [({}, {"models": {"a": {"relations": {"b": {}}}}})], [({"picks": ["nothing"]}, {})], [({"omits": ["nothing"]}, {})], [({}, {"models": {"nothing": {}}})],
+        [({"picks": ["x"]}, {}), ({"picks": ["y"]}, {})], [({"omits": ["x"]}, {}), ({"picks": ["x"]}, {})], [({"picks": ["x"]}, {}), ({"omits": ["y"]}, {})], [({"omits": ["x"]}, {}), ({"omits": ["x"]}, {})],
+        [({"picks": ["x"]}, {"models": {"a": {"omits": ["x"]}}})], [({"picks": ["x"]}, {"models": {"a": {"picks": ["y"]}}})], [({"omits": ["x"]}, {"models": {"a": {"picks": ["y"]}}})],
+        [({}, {"models": {"b": {"omits": ["p"]}}}), ({"relations": {"b": {"picks": ["p"]}}}, {})], [({}, {"models": {"b": {"omits": ["p"]}}}), ({}, {"models": {"b": {"picks": ["p"]}}})],
+        [({"relations": {"x": {}}}, {})], [({"relations": {"nothing": {}}}, {})], [({"enumPicks": {"x": ["A"]}}, {})], [({"enumPicks": {"nothing": ["A"]}}, {})], [({"enumPicks": {"e": ["Z"]}}, {})],
+        [({"enumOmits": {"e": ["A"]}}, {}), ({"enumPicks": {"e": ["A"]}}, {})], [({"enumPicks": {"e": ["A"]}}, {}), ({"enumOmits": {"e": ["B"]}}, {})], [({"enumPicks": {"e": ["A"]}}, {"enums": {"E": {"omits": ["A"]}}})],
+        [({}, {"enums": {"E": {"picks": ["A"]}}}), ({"enumPicks": {"e": ["B"]}}, {})], [({}, {"enums": {"E": {"picks": ["Z"]}}})], [({}, {"enums": {"N": {"picks": ["A"]}}})], [({}, {"enums": {"E": {"omits": ["A"]}}}), ({}, {"enums": {"E": {"picks": ["A"]}}})],
+        [({"sources": {"nothing": True}}, {})], [({"sources": {"x": {"label": "nothing"}}}, {})], [({"sources": {"x": {"where": _is("nothing")}}}, {})], [({"sources": {"x": {"groupBy": "as"}}}, {})], [({"sources": {"x": {"groupBy": "b.nothing"}}}, {})],
+        [({"sources": {"x": {"groupBy": "y"}}}, {}), ({"sources": {"x": {"groupBy": "b.p"}}}, {})],
+    ],
+)
+def test_narrowings_that_are_found_wrong(layers):
+    lens = _lens(*layers)
+    schema = lens
+    while isinstance(schema, Narrowing):
+        schema = schema.parent
+    schema.schema.enums["E"] = ["A", "B", "C"]
+    schema.schema.models["a"].fields["e"] = Field("Enum", enum="E")
+    found = validate_narrowing(lens)
+    assert found, layers
+
+
+def test_narrowings_that_are_right():
+    lens = _lens(({"picks": ["id", "x", "b"], "relations": {"b": {"omits": ["q"]}}}, {"models": {"c": {"picks": ["id", "r"]}}}), ({"omits": ["x"], "sources": {"id": {"groupBy": "b.c.r", "label": "x"}}}, {}), ({"sources": {"id": {"groupBy": "b.c.r"}}}, {}))
+    assert not validate_narrowing(lens)
 
 
 def test_labels_and_axes_may_not_show_what_older_layers_took():
