@@ -33,10 +33,10 @@ from gristmill.llm.common import cut, small_batches
 
 PER_CLASS, OTHERS, MAX_CUES = 1000, 3, 5000
 #: Letters of the sample's texts at most, a third of them toxic; of those that the field itself is fitted on, as it has few weights beside the cues.
-SAMPLE_LETTERS, FIELD_LETTERS = 24_000_000, 4_500_000
+SAMPLE_LETTERS, FIELD_LETTERS = 24_000_000, 3_000_000
 _TOKEN = re.compile(r"\w+")
 _BEGINNINGS = (3, 4, 5, 6, 7, 8)
-_MEMO = 500_000
+_MEMO = 200_000
 
 
 def features_of(word: str) -> list[str]:
