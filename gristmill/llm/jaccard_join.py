@@ -39,12 +39,12 @@ from gristmill.llm.winnowing import Hashes, grams
 
 WORDS, PERCENT = 5, 80
 #: Bound on the heavy shingles, which are broadcast; on those that one batch reports; tokens of a batch; of a block; least count.
-HEAVY, HEAVY_BATCH, BATCH_TOKENS, BLOCK_TOKENS, HEAVY_COUNT = 1 << 17, 40_000, 6_000_000, 300_000, 2
+HEAVY, HEAVY_BATCH, BATCH_TOKENS, BLOCK_TOKENS, HEAVY_COUNT = 1 << 17, 20_000, 2_000_000, 50_000, 2
 #: Pivots of a group of many blocks, at most. Their numbers are bits of a mask.
 PIVOTS = 16
 #: Groups of many blocks up to this number are broadcast, with a few numbers each.
 FEW_GROUPS = 100_000
-_MEMO = 300_000
+_MEMO = 200_000
 
 
 class Shingles:
