@@ -65,6 +65,19 @@ def join_by(rows: DataFrame, one: DataFrame, key: str, n: str = "n") -> DataFram
     return rows.join(hot, key).union(rows.join(hot.select(key), key, "left_anti").join(one.where(F.col(n) <= HOT_ROWS).drop(n), key))
 
 
+#: Parts that a hot key's rows are dealt to.
+SALTS = 32
+
+
+def join_left(rows: DataFrame, one: DataFrame, key: list[str]) -> DataFrame:
+    """`rows` with the columns of `one`, which has one row for a key at most and is too large to broadcast. Keys that very many rows hold are salted."""
+    hot = F.broadcast(cut(rows.groupBy(*key).count().where(F.col("count") > HOT_ROWS).select(*key, F.lit(True).alias("_hot"))))
+    salts = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    salted = one.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    return rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot").join(salted, [*key, "_salt"], "left").drop("_salt")
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that a written table has replaced; else they stay until the driver next collects garbage."""
     gc.collect()

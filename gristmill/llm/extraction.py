@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import cut, small_batches
+from gristmill.llm.common import cut, join_left, small_batches
 
 #: A line is template if at least so many pages, and this share of the host's pages, have it.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.6
@@ -41,8 +41,8 @@ TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.6
 INSIDE_PAGES, INSIDE_SHARE = 10, 0.9
 #: An element holds the content if it has this share of the slots' text; one that HTML names as the article, if it has this one.
 CONTENT_SHARE, NAMED_SHARE = 0.8, 0.5
-#: References or wrappers up to these bytes are broadcast; beyond, hosts are joined with so many salts.
-BROADCAST_BYTES, SALTS = 8 << 20, 32
+#: References or wrappers up to these bytes are broadcast; beyond, they are joined by host.
+BROADCAST_BYTES = 8 << 20
 #: HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -430,11 +430,10 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with(rows: DataFrame, found: DataFrame, size: Column) -> DataFrame:
-    """`rows` with the columns that `found` has for their host."""
+    """`rows` with the columns that `found` has for their host. Where these are too large to broadcast, hosts of very many pages are salted."""
     if (found.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(found), "host", "left")
-    salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "_salt"], "left").drop("_salt")
+    return join_left(rows, found, ["host"])
 
 
 def references(pages: DataFrame) -> DataFrame:

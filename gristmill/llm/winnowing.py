@@ -28,13 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.common import FILTER_BITS, bit_filter, cut, has_bit, small_batches
+from gristmill.llm import common
+from gristmill.llm.common import FILTER_BITS, SALTS, bit_filter, cut, has_bit, join_left, small_batches
 
 WINDOW, KGRAM = 10, 6
 #: Bytes of the windows that are broadcast, and of one of them.
 TEST_BYTES, ROW_BYTES = 16 << 20, 40
-#: Windows that more documents hold are dealt over so many salts.
-HELD_BY, SALTS = 100_000, 32
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: The same for the JVM, on a text with A to Z lowered.
 WORD, _UPPER, _LOWER = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -253,13 +252,13 @@ def _slots(f: np.ndarray) -> np.ndarray:
 def _by_joins(docs: DataFrame, windows: DataFrame, sizes: list[int], window: int, k: int) -> DataFrame:
     """The same for items of any size. Equal texts, named by 128 bits, are rated together."""
     text = F.col("text").cast("string")
-    names = [F.coalesce(F.xxhash64(F.lit(i), text), F.lit(0)).alias(f"_t{i}") for i in (1, 2)]
+    names = [F.xxhash64(F.lit(i), text).alias(f"t{i}") for i in (1, 2)]
     slot = F.pmod(F.col("f"), F.lit(FILTER_BITS)).cast("int")  # FILTER_BITS is a power of two, so signs don't matter
     shared = bit_filter(windows.select(slot.alias("slot")))
-    texts = docs.select(names[0].alias("t1"), names[1].alias("t2"), text.alias("text")).where("text IS NOT NULL")
+    texts = docs.select(*names, text.alias("text")).where("text IS NOT NULL")
     places = cut(texts.mapInArrow(_places(shared, sizes, window, k), "t1 long, t2 long, size int, a long, b long, p long").distinct())
     key = ["size", "a", "b"]
-    hot = F.broadcast(places.groupBy(*key).count().where(F.col("count") > HELD_BY).select(*key))
+    hot = F.broadcast(cut(places.groupBy(*key).count().where(F.col("count") > common.HOT_ROWS).select(*key)))
     salted = windows.select(*key, "item").join(hot, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     more = places.join(hot, key).withColumn("salt", F.pmod(F.xxhash64("t1", "t2"), F.lit(SALTS)).cast("int"))
     hits = places.join(windows.select(*key, "item").join(hot, key, "left_anti"), key).select("t1", "t2", "size", "p", "item")
@@ -269,14 +268,13 @@ def _by_joins(docs: DataFrame, windows: DataFrame, sizes: list[int], window: int
     merged = """aggregate(spans, cast(array() as array<struct<begin: bigint, end: bigint>>), (a, x) -> if(size(a) > 0 and x.begin <= element_at(a, -1).end,
         concat(slice(a, 1, size(a) - 1), array(named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x))))"""
     ranges = ends.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans")).select("t1", "t2", F.expr(merged).alias("hit_ranges"))
-    rated = ranges.join(items, ["t1", "t2"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rated = ranges.join(items, ["t1", "t2"], "left")
     n_words = F.coalesce(F.regexp_count(F.translate(text, _UPPER, _LOWER), F.lit(WORD)), F.lit(0)).cast("long")
     n_hit = F.coalesce(F.expr("aggregate(hit_ranges, 0L, (a, x) -> a + x.end - x.begin)"), F.lit(0).cast("long"))
     none = F.array().cast("array<string>")
     found = F.struct(F.col("_n").alias("n_words"), n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("hit_ranges", F.array().cast(_SPANS)).alias("hit_ranges"))
-    row = docs.select(F.struct("*").alias("_row"), *names, n_words.alias("_n"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_s"))
-    on = (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")) & (F.col("_s") == F.col("_salt"))
-    return row.join(rated, on, "left").select("_row.*", found.alias("_0"))
+    rows = docs.select(F.struct("*").alias("_row"), *names, n_words.alias("_n"))
+    return join_left(rows, rated, ["t1", "t2"]).select("_row.*", found.alias("_0"))
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, k: int = KGRAM, test_bytes: int = TEST_BYTES) -> DataFrame:

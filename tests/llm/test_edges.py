@@ -329,7 +329,7 @@ def test_winnowing_against_windows(spark, make, block, monkeypatch):
     items += [(11, "a b a b a b a b a b a b a"), (None, "b a b")]
     rows = EDGE + [(i, " ".join(rng.choice(WORDS) for _ in range(40)) + " " + (items[i % 9][1] or "").upper()[: rng.randrange(10, 200)] + " " + " ".join(rng.choice(few) for _ in range(30))) for i in range(20, 60)]
     rows += rows[20:24]
-    monkeypatch.setattr(winnowing, "HELD_BY", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     tests = spark.createDataFrame(items, "item_id long, text string")
     out = winnowing.decontaminate(make(rows).withColumn("items", F.lit(1)), tests, test_bytes=block).collect()
     assert len(out) == len(rows)
@@ -465,10 +465,11 @@ def test_references_end_with_their_text():
     assert extraction.extract("<p>a &amp;lt; b &<b>lt;</b> c&nbsp;&#233;</p>", None) == "a &lt; b &lt; c é"
 
 
-@pytest.mark.parametrize("limit", [8 << 20, 0])
-def test_layouts_of_one_host(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit, hot", [(8 << 20, 100_000), (0, 100_000), (0, 10)])
+def test_layouts_of_one_host(spark, monkeypatch, limit, hot):
     """Constant lines of a layout that isn't the reference's go, too. Without broadcasts the results are the same."""
     monkeypatch.setattr(extraction, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     a, b = "<body><div class='x'><p>{0}</p><p>Always here</p></div></body>", "<body><section><div class='y'><p>{0}</p><p>Always here, too</p></div></section></body>"
     rng = random.Random(6)
     texts = [sentence(rng, 20) for _ in range(40)]
