@@ -373,14 +373,12 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     firsts = sized.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     name = F.coalesce("doc_id", F.lit(-1))
 
-    def links(placed: DataFrame) -> DataFrame:
-        """What the placed classes' blocks report. Only texts that the filter takes for theirs are read for sets."""
-        bitmap = bit_filter(firsts.join(placed.select("class").distinct(), "class", "left_semi").select(name.alias("doc_id")).select(slot_of("doc_id").alias("slot")))
-        sets = texts.withColumn("doc_id", name).withColumn("slot", slot_of("doc_id")).mapInArrow(_sets(bitmap, words), "class long, tokens binary")
-        return cut(placed.join(sets, "class").groupBy("to_group", "qb", "mb").applyInArrow(_open(percent), _FOUND))
-
     asking = _asking(opened)
+    asked = firsts.join(opened.select("class").distinct(), "class", "left_semi")
+    bitmap = bit_filter(asked.select(name.alias("doc_id")).select(slot_of("doc_id").alias("slot")))
+    sets = cut(texts.withColumn("doc_id", name).withColumn("slot", slot_of("doc_id")).mapInArrow(_sets(bitmap, words), "class long, tokens binary"))
     blocks = cut(asking.groupBy("to_group").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("nb")).where("nb > 1"))
+    links = lambda placed: cut(placed.join(sets, "class").groupBy("to_group", "qb", "mb").applyInArrow(_open(percent), _FOUND))
     found = links(_placed(asking, blocks))
     edges = found.where("b IS NOT NULL").select("a", "b")
     if blocks.limit(1).count():
