@@ -126,9 +126,9 @@ _where("f_bind", "lineitem", {"field": "l_quantity", "operator": "equals", "bind
 _text = lambda *names: lambda df: df.withColumns({n: F.col(n).cast("string") for n in names})
 _where("f_coerce_int", "orders", _rule("o_custkey", "lessThan", "100", coerceType="Int"), "TRY_CAST(o_custkey::VARCHAR AS DOUBLE) < 100", _text("o_custkey"))
 _where("f_coerce_datetime", "orders", _rule("o_orderdate", "lessThan", "1996-01-01", coerceType="DateTime"), "o_orderdate < TIMESTAMP '1996-01-01'", _text("o_orderdate"))
-_epoch = lambda df: df.withColumn("o_orderdate", (F.unix_millis(F.col("o_orderdate").cast("timestamp")) - 800_000_000_000).cast("string"))
-for _name, _at in (("text", "-50000000000"), ("number", -50_000_000_000)):
-    _where(f"f_coerce_epoch_{_name}", "orders", _rule("o_orderdate", "lessThan", _at, coerceType="DateTime"), "epoch_ms(o_orderdate) - 800000000000 < -50000000000", _epoch)
+_epoch = lambda df: df.withColumn("o_orderdate", (F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01', o_orderdate)") - 850_000_000_000).cast("string"))
+for _name, _at in (("text", "-5000000000"), ("number", -5_000_000_000)):
+    _where(f"f_coerce_epoch_{_name}", "orders", _rule("o_orderdate", "lessThan", _at, coerceType="DateTime"), "epoch_ms(o_orderdate) - 850000000000 < -5000000000", _epoch)
 _flagged = lambda df: df.withColumn("o_orderstatus", F.when(F.col("o_orderstatus") == "O", "true").when(F.col("o_orderstatus") == "F", "false").otherwise("True"))
 _where("f_coerce_bool", "orders", _rule("o_orderstatus", "equals", "true", coerceType="Boolean"), "o_orderstatus = 'O'", _flagged)
 _where("f_coerce_string", "orders", _rule("o_orderkey", "equals", 17, coerceType="String"), "o_orderkey::VARCHAR = '17'")
